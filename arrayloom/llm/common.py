@@ -162,12 +162,13 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     for i in range(1, most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch.table(least, f"{name}-least-{i}")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = scratch.table(large, f"{name}-large-{i}")
+        low = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low-{i}")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         edges = scratch.table(small, f"{name}-{i}")
-        if i > 1:
-            scratch.drop(f"{name}-{i - 2}")
+        scratch.drop(f"{name}-least-{i}", f"{name}-large-{i}", f"{name}-low-{i}", f"{name}-{i - 1}")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

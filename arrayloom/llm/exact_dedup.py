@@ -45,7 +45,7 @@ def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"))
     full = base.select("doc_id", F.length("_t").cast("long").alias("n_cp"), normalised(F.col("_t")).alias("norm"))
     digests = scratch.table(full.select("doc_id", "n_cp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digests")
-    repeated = digests.groupBy("sha").count().where("count > 1").select("sha")
+    repeated = scratch.table(digests.groupBy("sha").count().where("count > 1").select("sha"), "repeated")
     # Rows whose digest occurs once are alone; only the others' texts move, dealt by doc_id (no hot key).
     ids = scratch.table(digests.join(repeated, "sha", "left_semi").select("doc_id"), "ids")
     mates = full.join(ids, full["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
