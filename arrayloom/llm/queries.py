@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, ngram_join, packing
+from . import exact_dedup, language_id, ngram_join, packing, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
