@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, ngram_join, packing, suffix_dedup
+from . import exact_dedup, language_id, ngram_join, packing, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op3_exact_topk": topk_search.op3_exact_topk,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -12,4 +14,4 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_exact_topk": topk_search.SQL, "op6_exact_dedup": exact_dedup.SQL}
