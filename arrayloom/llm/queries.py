@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, ngram_join, packing, suffix_dedup, topk_search, toxicity
+from . import exact_dedup, language_id, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op8_sharding": sharding.op8_sharding,
     "op3_exact_topk": topk_search.op3_exact_topk,
     "op7_toxicity": toxicity.op7_toxicity,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
