@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity
+from . import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, sharding, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op4_html_extraction": html_extract.op4_html_extraction,
     "op1_mixing": mixing.op1_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op3_exact_topk": topk_search.op3_exact_topk,
