@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, Scratch, read_table, text_or_empty
 
 SALTS = 16
-_TOP = F.lit(9223372036854775807).cast("decimal(20,0)")
-_STEP = 18446744073709551616
+_TOP, _STEP = 9223372036854775807, 18446744073709551616
 
 
 def normalised(text: Column) -> Column:
@@ -29,13 +28,17 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def _rank() -> Column:
     """One number whose maximum is the row with most code points, then the least doc_id (fits decimal(38))."""
-    return F.col("n_cp").cast("decimal(18,0)") * F.lit(str(_STEP)).cast("decimal(20,0)") + (_TOP - F.col("doc_id").cast("decimal(20,0)"))
+    return F.col("n_cp").cast("decimal(18,0)") * _number(_STEP) + (_number(_TOP) - F.col("doc_id").cast("decimal(20,0)"))
 
 
 def _keep(rank: Column) -> Column:
-    return (_TOP - rank % F.lit(str(_STEP)).cast("decimal(20,0)")).cast("long")
+    return (_number(_TOP) - rank % _number(_STEP)).cast("long")
 
 
 def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
