@@ -1,0 +1 @@
+"""Reserved. The engine's operators are batch queries; frontier loops are iterative batch jobs (see operators.graph)."""
