@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
-MASK64 = (1 << 64) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---------------------------------------------------------------- shared folder
@@ -51,8 +51,14 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Writes the rows and reads them back. Nothing reuses a finished write's shuffle files, so they go at once."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -68,6 +74,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frame(columns: dict):
+    """A pandas frame whose list columns keep their type where a batch is empty."""
+    import pandas as pd
+
+    return pd.DataFrame({k: pd.Series(v, dtype=object) if isinstance(v, list) else v for k, v in columns.items()})
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public-domain murmur3 constants), element by element."""
@@ -150,32 +163,58 @@ def in_filter(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- connected components
-def components(links: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """(v, root) for every vertex of links(a, b): root is the least vertex reachable.
+def _contract(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars: every vertex with the least vertex that the partition joins it to."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x):
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for pdf in batches:
+            for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        out = [(v, find(v)) for v in list(root)]
+        yield frame({"a": [v for v, r in out if v != r], "b": [r for v, r in out if v != r]})
+
+    return edges.mapInPandas(run, "a long, b long")
+
+
+def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60, partial: bool = False) -> DataFrame:
+    """(v, root) for the vertices of links(a, b): root is the least vertex reachable.
 
-    Alternates large-star and small-star steps until the edges are a forest of stars that no longer changes. Each
-    step is grouped minima and a join on a vertex (adaptive execution splits hot vertices); each round's
-    edges are written to the shared folder.
+    Partitions first join what they can see into stars. Then large-star and small-star steps alternate until the edges
+    are a forest of stars. Each step is grouped minima and a join on a vertex (adaptive execution splits hot
+    vertices); each round's edges are written to the shared folder. With partial=True it stops after `rounds` rounds, with
+    roots that may be joined further.
     """
-    edges = scratch.table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    seen = None
-    for i in range(1, most_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        least = scratch.table(least, f"{name}-least-{i}")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large, f"{name}-large-{i}")
+    edges = scratch.table(_contract(links.select("a", "b")), f"{name}-0")
+    for i in range(1, rounds + 1):
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least-{i}")
+        large = scratch.table(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), f"{name}-large-{i}")
         low = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low-{i}")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        edges = scratch.table(small, f"{name}-{i}")
+        edges = scratch.table(_contract(small), f"{name}-{i}")
         scratch.drop(f"{name}-least-{i}", f"{name}-large-{i}", f"{name}-low-{i}", f"{name}-{i - 1}")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("k")), F.struct(F.col("b").alias("v"), F.lit(0).alias("k")))).alias("e"))
+        ends = ends.groupBy("e.v").agg(F.sum("e.k").alias("ups"), F.min("e.k").alias("k"))
+        if partial and i == rounds or ends.where("ups > 1 or ups = 1 and k = 0").isEmpty():
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")).union(edges.select("b", "b").distinct())
+    low, roots = edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")), edges.select(F.col("b").alias("v")).distinct()
+    if partial:
+        roots = roots.join(low, "v", "left_anti")
+    return low.union(roots.select("v", F.col("v").alias("root")))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -1,42 +1,47 @@
 """Exact n-gram Jaccard join with token-combination prefixes.
 
 A document's tokens are its distinct word shingles, as 64-bit fingerprints. Documents with one token set form a class;
-classes are what is joined, and copies are never expanded into pairs.
-
-* Order and token classes. A count sketch of fixed size, filled from every document, never counts a token too low.
-  Tokens are ordered by that count. Counts under a cut (from the sketch's mean load) make the rare class; the others
-  are frequent and are dealt, by fingerprint, into sub-classes.
-* Prefixes. A set of n tokens can miss e = n - ceil(t n) of them. A rare token in the prefix is a signature of its own;
-  of a frequent sub-class every pair of prefix tokens is one. The prefix is extended until
-  rare + sum over sub-classes of (tokens - 1) >= e + 1, so two sets that link share a signature.
+classes are what is joined, and copies are never expanded into pairs. A set of n tokens can link at threshold t
+only if at most e = n - ceil(t n) of its tokens are missing from the other set.
+
+* Sieve. A fixed share of all tokens (the least fingerprints, twice 1 - t of them) is counted exactly over all documents,
+  with map-side minima and maxima of class ids. A class with more than e tokens that no other class holds can't link
+  and leaves. Most documents of a varied corpus do.
+* Exact counts of all tokens are then taken among the classes that are left. Tokens are ordered by count. Those held by
+  at most `RARE` classes make the rare class; the others are frequent and are dealt, by fingerprint, into sub-classes.
+* Prefixes. A rare token in the prefix is a signature of its own; of a frequent sub-class every pair of
+  prefix tokens is one. The prefix is extended until
+  unshared + rare + sum over sub-classes of (tokens - 1) >= e + 1, so two sets that link share a signature.
   The number of sub-classes depends on the size band; sets close to a band's lower edge emit for both bands.
-* Candidates. A rare signature has a bounded number of holders (the sketch's cut). A frequent one can have any number;
-  it is handled by grouped minima and joins that adaptive execution can split. Within a signature all holders are first
-  verified against one hub, the holder with the fewest rare tokens. Classes linked so far are merged; then, for
-  signatures whose holders are still in several components, the holders outside the hub's component are verified
-  against the holders of other components, so no link is lost and pairs inside a component are never made.
+* Candidates. Within a signature all holders are first verified against one hub, the holder with the smallest share of
+  rare tokens. Classes linked so far are merged; then, for signatures whose holders are still in several components,
+  the holders outside the hub's component are verified against the holders of other components, so no link is lost and
+  pairs inside a component are never made. Sizes and the numbers of unshared tokens rule out pairs beforehand.
 * Verification compares whole token sets.
 
+Hot signatures are only met in grouped minima and in joins of written tables, which adaptive execution can split.
 Fingerprints of 64 bits name tokens, and class ids are the first 8 of 16 digest bytes; `classes` fails loudly should two
 digests share an id.
 
 Defined cases: null text is empty; a text with fewer words than a shingle is one token; empty token sets link with
-nothing; null doc_ids are left out of the join and come back with a null component; other columns are ignored.
+nothing; rows with a null doc_id are left out of the join and come back with a null component; rows that repeat a
+doc_id are documents each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, hasher, id_filter, in_filter, mix, read_table
+from .common import Scratch, components, frame, hasher, id_filter, in_filter, mix, read_table
 
-WIDTH = 1 << 22  #: counters of the sketch (16 MB on the driver and in each worker, whatever the input)
-CHUNK = 1 << 14
+WORDS = 16  #: 64-bit words of parity bits for each class
+RARE = 16  #: tokens that more classes hold are indexed in pairs
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -76,14 +81,14 @@ def links(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, cut: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of single rare tokens, and of pairs of frequent ones."""
-    n, none = len(tokens), np.zeros(0, np.int64)
+def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, cut: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of single rare tokens, and of pairs of frequent ones. tokens: those of n that other sets hold too."""
+    none = np.zeros(0, np.int64)
     e = missable(n, percent)
-    if n < 2 or e == 0 and missable_other(n, percent) <= n:  # it can only link with itself
+    need = e + 1 - (n - len(tokens))
+    if need <= 0 or n < 2 or e == 0 and missable_other(n, percent) <= n:  # it can't link, or only with itself
         return none, none
-    need = e + 1
-    few = counts < cut
+    few = counts <= cut
     rare, c = tokens[few], counts[few]
     if len(rare) >= need:
         return rare[np.lexsort((rare, c))[:need]].view(np.int64), none
@@ -117,116 +122,101 @@ def size_band(n: int) -> int:
 
 
 # ---------------------------------------------------------------- passes over the texts
-def _scan(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """doc_id, n, hi, lo for each document, and the sketch's parts (chunk, part) of each task in the same table."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+
+def _scan(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, hi, lo: size and digest of each document's token set."""
 
     def run(batches):
         import pandas as pd
-        from pyspark import TaskContext
 
-        sketch, any_ = np.zeros(WIDTH, np.int32), False
         for pdf in batches:
-            rows, all_ = [], []
-            for t in pdf["text"]:
-                s = shingles(t, k)
-                all_.append(s)
-                rows.append((len(s), *digest(s)))
-            out = pd.DataFrame(rows, columns=["n", "hi", "lo"])
+            rows = [(len(s), *digest(s)) for s in (shingles(t, k) for t in pdf["text"])]
+            out = pd.DataFrame(rows, columns=["n", "hi", "lo"], dtype=np.int64)
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            out["chunk"], out["part"], out["task"] = -1, None, -1
-            if len(all_):
-                any_ = True
-                sketch += np.bincount((np.concatenate(all_) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.int32)
             yield out
-        if any_:
-            for c in range(WIDTH // CHUNK):
-                part = sketch[c * CHUNK : (c + 1) * CHUNK]
-                yield pd.DataFrame({"doc_id": [0], "n": [0], "hi": [0], "lo": [0], "chunk": [c], "part": [zlib.compress(part.tobytes(), 1)], "task": [TaskContext.get().partitionId()]})
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return scratch.table(chosen.mapInPandas(run, "doc_id long, n int, hi long, lo long, chunk int, part binary, task int"), "scan")
+    return _texts(docs).mapInPandas(run, "doc_id long, n int, hi long, lo long")
 
 
-def _sketch(scan: DataFrame) -> np.ndarray:
-    """The summed sketch: a fixed 16 MB. Added up in two levels, so no task gets the parts of all tasks."""
-    import pandas as pd
+def _unshared(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """cls, alone: how many of a class's counted tokens no other class holds (none: no row)."""
+    limit = np.uint64(min(2 * (100 - percent), 100) * ((1 << 64) // 100) - 1)
+
+    def run(batches):
+        import pandas as pd
 
-    def add(pdf):
-        total = np.zeros(CHUNK, np.int64)
-        for p in pdf["part"]:
-            total += np.frombuffer(zlib.decompress(p), np.int32)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+        for pdf in batches:
+            made = [shingles(t, k) for t in pdf["text"]]
+            counted = [s[: np.searchsorted(s, limit, "right")] for s in made]
+            cls = np.repeat(np.array([digest(s)[0] for s in made], np.int64), [len(c) for c in counted])
+            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *counted]).view(np.int64), "cls": cls})
 
-    parts = scan.where("chunk >= 0").select("chunk", "part", (F.col("task") % 64).alias("salt"))
-    parts = parts.groupBy("chunk", "salt").applyInPandas(lambda pdf: add(pdf), "chunk int, part binary")
-    rows = parts.groupBy("chunk").applyInPandas(lambda pdf: add(pdf), "chunk int, part binary").toPandas()
-    out = np.zeros(WIDTH, np.int32)
-    for c, p in zip(rows["chunk"], rows["part"]):
-        out[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(p), np.int32)
-    return out
+    tokens = _texts(docs).mapInPandas(run, "token long, cls long")
+    held = tokens.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("up"))
+    return held.where("cls = up").groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def classes(scan: DataFrame) -> DataFrame:
     """One row per distinct token set: cls, rep (least doc_id), n."""
-    found = scan.where("chunk < 0 and n > 0").groupBy(F.col("hi").alias("cls")).agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("hi_lo"), F.min("n").alias("least"))
+    found = scan.where("n > 0").groupBy(F.col("hi").alias("cls")).agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("hi_lo"), F.min("n").alias("least"))
     return found.withColumn("cls", F.when((F.col("lo") == F.col("hi_lo")) & (F.col("n") == F.col("least")), F.col("cls")).otherwise(F.raise_error(F.lit("two token sets share a class id")).cast("long"))).select("cls", "rep", "n")
 
 
-def _emit(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """sig, cls, often, n, rare: the signatures of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    mean = float(sketch.sum(dtype=np.int64)) / WIDTH
-    cut = int(mean + 8 * mean**0.5 + 8)
+def _token_sets(docs: DataFrame, open_: DataFrame, k: int) -> DataFrame:
+    """cls, n, tokens and parity bits: whole token sets of the open classes (cls, rep), from the texts behind a fixed-size filter."""
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(open_, "rep"))
 
     def run(batches):
-        import pandas as pd
-
-        table = shared.value
         for pdf in batches:
-            sig, made = [np.zeros(0, np.int64)], []
-            for t in pdf["text"]:
-                s = shingles(t, k)
-                one, two = signatures(s, table[(s & np.uint64(WIDTH - 1)).astype(np.int64)], cut, percent)
-                for x, often in ((one, 0), (two, 1)):
-                    if len(x):
-                        sig.append(x)
-                        made.append((digest(s)[0], often, len(s), len(one), len(x)))
-            m = np.array(made, np.int64).reshape(-1, 5)
-            m = np.repeat(m[:, :4], m[:, 4], axis=0)
-            yield pd.DataFrame({"sig": np.concatenate(sig), "cls": m[:, 0], "often": m[:, 1] == 1, "n": m[:, 2].astype(np.int32), "rare": m[:, 3].astype(np.int32)})
+            pdf = pdf[in_filter(table.value, pdf["doc_id"].to_numpy(dtype=np.int64))]
+            made = [shingles(t, k) for t in pdf["text"]]
+            bits = np.array([parities(s) for s in made], np.int64).reshape(-1, WORDS)
+            columns = {f"b{i}": bits[:, i] for i in range(WORDS)}
+            yield frame({"rep": pdf["doc_id"].to_numpy(), "cls": np.array([digest(s)[0] for s in made], np.int64), "tokens": [s.view(np.int64) for s in made], **columns})
 
-    chosen = docs.where("doc_id is not null").select(F.col("text").cast("string").alias("text"))
-    return chosen.mapInPandas(run, "sig long, cls long, often boolean, n int, rare int")
+    words = [f"b{i}" for i in range(WORDS)]
+    found = _texts(docs).mapInPandas(run, "rep long, cls long, tokens array<long>, " + ", ".join(f"{w} long" for w in words)).join(open_.select("rep", "cls"), ["rep", "cls"], "left_semi")
+    return found.dropDuplicates(["cls"]).select("cls", F.size("tokens").alias("n"), "tokens", *words)
 
 
-def _rare_groups(rare: DataFrame) -> DataFrame:
-    """The holders of rare signatures that several classes hold. A rare token has fewer holders than the sketch's cut."""
+def _emit(sets: DataFrame, scratch: Scratch, percent: int, rare: int) -> DataFrame:
+    """sig, cls, n, alone, rare: signatures of the open classes, from exact counts among them."""
+    each = sets.select("cls", "n", F.explode("tokens").alias("token"))
+    shared = scratch.table(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    lists = each.join(shared, "token").groupBy("cls", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
 
     def run(batches):
         import pandas as pd
 
-        rest = None
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if len(pdf):
-                last = pdf["sig"] == pdf["sig"].iloc[-1]
-                rest = pdf[last]
-                yield shared(pdf[~last])
-        if rest is not None:
-            yield shared(rest)
+            sig, made = [np.zeros(0, np.int64)], []
+            for c, n, tokens, counts in zip(pdf["cls"], pdf["n"], pdf["tokens"], pdf["dfs"]):
+                one, two = signatures(np.asarray(tokens, np.int64).view(np.uint64), np.asarray(counts, np.int64), n, rare, percent)
+                for x in (one, two):
+                    sig.append(x)
+                    made.append((c, n, n - len(tokens), len(one), len(x)))
+            m = np.array(made, np.int64).reshape(-1, 5)
+            m = np.repeat(m[:, :4], m[:, 4], axis=0)
+            yield pd.DataFrame({"sig": np.concatenate(sig), "cls": m[:, 0], "n": m[:, 1], "alone": m[:, 2], "rare": m[:, 3]})
 
-    def shared(pdf):
-        pdf = pdf.drop_duplicates(["sig", "cls"])
-        return pdf[pdf["sig"].duplicated(keep=False)]
+    return lists.select("cls", "n", "tokens", "dfs").mapInPandas(run, "sig long, cls long, n int, alone int, rare int")
 
-    dealt = rare.select("sig", "cls", "n", "rare").repartition("sig").sortWithinPartitions("sig")
-    return dealt.mapInPandas(run, "sig long, cls long, n int, rare int")
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of tokens falls into slot i. Two sets differ in at least as many tokens as these differ in bits."""
+    odd = np.bincount((mix(tokens) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _possible(percent: int):
-    """Whether the sizes leave a link possible."""
-    small, large = F.least("n", "o_n"), F.greatest("n", "o_n")
-    return (F.lit(100) * small >= F.lit(percent) * large) & (F.col("cls") != F.col("o_cls"))
+    """Whether sizes, tokens that no other class holds, and parity bits leave a link possible. All three are exact bounds."""
+    top = F.least(F.col("n") - F.col("alone"), F.col("o_n") - F.col("o_alone"))
+    both = F.col("n") + F.col("o_n")
+    bits = reduce(add, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(WORDS)])
+    return (F.col("cls") != F.col("o_cls")) & (F.lit(100) * top >= F.lit(percent) * (both - top)) & (F.lit(100 + percent) * bits <= F.lit(100 - percent) * both)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +228,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 ok.append(links(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
@@ -248,74 +237,61 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id for each document; two documents link at Jaccard >= percent / 100."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    scan = _scan(docs, k, scratch)
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    scan = scratch.table(_scan(docs, k), "scan")
     cls = scratch.table(classes(scan), "classes")
-    emitted = scratch.table(_emit(docs, _sketch(scan), k, percent), "emitted")
-    often = emitted.where("often").groupBy("sig", "cls").agg(F.max("n").alias("n"), F.max("rare").alias("rare"))
-    all_held = scratch.table(_rare_groups(emitted.where("not often")).union(often), "all-held")
-    scratch.drop("emitted")
+    alone = scratch.table(_unshared(docs, k, percent), "unshared")
+    e = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    linkable = (F.floor(F.col("n") * 100 / percent) > F.col("n")) | (e > 0)
+    open_ = scratch.table(cls.join(alone, "cls", "left").where((F.coalesce("alone", F.lit(0)) <= e) & linkable).select("cls", "rep"), "open")
+    sets = scratch.table(_token_sets(docs, open_, k), "sets")
+    held = scratch.table(_emit(sets, scratch, percent, rare), "emitted")
+    scratch.drop("shared")
     # The hub: the least share of rare tokens, then the least class id, as one number so that it is a plain grouped minimum.
     two64, half = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
-    share = F.least(F.lit(127), F.floor(F.col("rare") * 127 / F.col("n"))).cast("decimal(3,0)")
-    hubs = all_held.groupBy("sig").agg(F.min(share * two64 + (F.col("cls").cast("decimal(20,0)") + half)).alias("h"), F.min("cls").alias("lo"), F.max("cls").alias("up")).where("lo <> up")
+    share = F.least(F.lit(127), F.floor((F.col("rare") + F.col("alone")) * 127 / F.col("n"))).cast("decimal(3,0)")
+    hubs = held.groupBy("sig").agg(F.min(share * two64 + (F.col("cls").cast("decimal(20,0)") + half)).alias("h"), F.min("cls").alias("lo"), F.max("cls").alias("up")).where("lo <> up")
     hubs = scratch.table(hubs.select("sig", (F.col("h") % two64 - half).cast("long").alias("hub")), "hubs")
-    held = scratch.table(all_held.join(hubs, "sig"), "held")
-    scratch.drop("all-held")
-    sizes = scratch.table(held.groupBy(F.col("cls").alias("o_cls")).agg(F.max("n").alias("o_n")), "sizes")
-    spokes = scratch.table(held.where("cls <> hub").groupBy("cls", "hub").agg(F.max("n").alias("n")), "spokes")
+    held = scratch.table(held.join(hubs, "sig").select("sig", "cls", "n", "alone", "hub"), "held")
+    scratch.drop("emitted")
+    facts = scratch.table(held.groupBy("cls").agg(F.max("n").alias("n"), F.max("alone").alias("alone")).join(sets.drop("n", "tokens"), "cls"), "facts")
+    others = facts.select(*[F.col(c).alias(f"o_{c}") for c in facts.columns])
+    spokes = scratch.table(held.where("cls <> hub").select("cls", "hub").distinct(), "spokes")
     pair = (F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b"))
-    star = scratch.table(spokes.join(sizes, F.col("hub") == F.col("o_cls")).where(_possible(percent)).select(*pair).distinct(), "star")
-    # Whole token sets of the classes in play, read once more from the texts behind a fixed-size filter.
-    reps = scratch.table(sizes.select(F.col("o_cls").alias("cls")).join(cls, "cls").select("cls", "rep"), "reps")
-    sets = scratch.table(_token_sets(docs, reps, k), "sets")
+    star = scratch.table(spokes.join(facts, "cls").join(others, F.col("hub") == F.col("o_cls")).where(_possible(percent)).select(*pair).distinct(), "star")
     linked = scratch.table(_verify(star, sets, percent), "linked")
-    comp = _components(linked, scratch, "cc-a")
+    comp = _components(linked, scratch, "cc-a", rounds=1, partial=True)  # merged further at the end
     # Holders outside their hub's component against holders of other components.
-    label = held.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", "hub", F.coalesce("root", "cls").alias("root"))
+    label = held.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "hub", F.coalesce("root", "cls").alias("root"))
     label = scratch.table(label, "label")
     centre = scratch.table(label.where("cls = hub").select("sig", F.col("root").alias("hub_root")), "centre")
-    outside = scratch.table(label.join(centre, "sig").where("root <> hub_root").select("sig", "cls", "n", "root"), "outside")
+    outside = scratch.table(label.join(centre, "sig").where("root <> hub_root").select("sig", "cls", "root"), "outside")
     if outside.limit(1).count():
-        open_ = scratch.table(outside.select("sig").distinct(), "open")
-        other = label.join(open_, "sig", "left_semi").select("sig", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("root").alias("o_root"))
-        other = scratch.table(other, "other")
+        still = scratch.table(outside.select("sig").distinct(), "still")
+        other = label.join(still, "sig", "left_semi").select("sig", F.col("cls").alias("o_cls"), F.col("root").alias("o_root"))
+        other = scratch.table(other.join(others, "o_cls"), "other")
+        outside = scratch.table(outside.join(facts, "cls"), "outside-facts")
         cross = outside.join(other, "sig").where(_possible(percent) & (F.col("root") != F.col("o_root")))
-        cross = scratch.table(cross.select(*pair).distinct().join(star, ["a", "b"], "left_anti"), "cross")
+        cross = scratch.table(cross.select(*pair).distinct(), "cross")
+        cross = cross.join(star, ["a", "b"], "left_anti")
         more = scratch.table(_verify(cross, sets, percent), "more")
-        if more.limit(1).count():
-            comp = _components(linked.union(more), scratch, "cc-b")
+        linked = linked.union(more)
+    comp = _components(linked, scratch, "cc-b")
     rooted = scratch.table(cls.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.table(rooted.join(least, "root").select("cls", "component_id"), "named")
-    each = scan.where("chunk < 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("hi")).alias("cls"))
+    each = scan.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("hi")).alias("cls"))
     out = each.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = docs.where("doc_id is null").select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_shingles", "component_id")])
     return out.union(lost)
 
 
-def _components(linked: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _components(linked: DataFrame, scratch: Scratch, name: str, **how) -> DataFrame:
     if linked.limit(1).count() == 0:
         return linked.sparkSession.createDataFrame([], "v long, root long")
-    return scratch.table(components(linked, scratch, name), f"{name}-roots")
-
-
-def _token_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    table = docs.sparkSession.sparkContext.broadcast(id_filter(reps, "rep"))
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            pdf = pdf[in_filter(table.value, pdf["doc_id"].to_numpy(dtype=np.int64))]
-            made = [shingles(t, k) for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["doc_id"].to_numpy(), "cls": np.array([digest(s)[0] for s in made], np.int64), "tokens": [s.tobytes() for s in made]})
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInPandas(run, "rep long, cls long, tokens binary").join(reps, ["rep", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
+    return scratch.table(components(linked, scratch, name, **how), f"{name}-roots")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
