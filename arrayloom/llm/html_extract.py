@@ -32,13 +32,17 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, frame, read_table
 
 SALTS = 32
+WIDEST = 256  #: nodes in a run that is looked at as a repeated group
+LARGE = 400_000  #: cells of an alignment table beyond which blocks are matched instead
 
 # Element and class names of the HTML standard and common usage.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
@@ -150,40 +154,45 @@ def _balanced(nodes: list) -> bool:
     return depth == 0
 
 
-def fold(nodes: list) -> list:
-    """Balanced runs that follow themselves become repeated groups; shortest runs first, until nothing changes."""
-    changed = True
+def _absorb(nodes: list) -> list:
+    """Instances of a repeated group's body right before or after the group belong to it."""
+    out: list = []
+    i = 0
+    while i < len(nodes):
+        x = nodes[i]
+        i += 1
+        if x[0] == "+":
+            w = len(x[1])
+            while out[-w:] == x[1] or out[-1:] == [x]:
+                del out[-(1 if out[-1] == x else w) :]
+            while nodes[i : i + w] == x[1] or nodes[i : i + 1] == [x]:
+                i += 1 if nodes[i] == x else w
+        out.append(x)
+    return out
+
+
+def fold(nodes: list, widest: int = WIDEST) -> list:
+    """Balanced runs of up to `widest` nodes that follow themselves become repeated groups; shortest first, until nothing changes."""
+    nodes, changed = _absorb(nodes), True
+    names: dict[str, int] = {}
+    number = lambda: np.array([names.setdefault(json.dumps(x), len(names)) for x in nodes])
+    ids = number()
     while changed:
-        changed = False
-        width = 1
-        while width <= len(nodes) // 2:
-            out, i = [], 0
-            while i < len(nodes):
+        changed, width = False, 1
+        while width <= min(widest, len(nodes) // 2):
+            same = np.concatenate(([0], np.cumsum(ids[:-width] == ids[width:])))
+            starts = np.flatnonzero(same[width:] - same[:-width] == width) if len(same) > width else []
+            for i in starts:
                 body = nodes[i : i + width]
-                j = i + width
-                if len(body) == width and _balanced(body) and body != [["#"]]:
-                    if width == 1 and body[0][0] == "+":
-                        while nodes[j : j + 1] == body:
-                            j += 1
-                        out.append(body[0])
-                        changed |= j > i + 1
-                        i = j
-                        continue
-                    if out and out[-1] == ["+", body]:
-                        i = j
-                        changed = True
-                        continue
+                if _balanced(body) and body != [["#"]]:
+                    j = i + width
                     while nodes[j : j + width] == body:
                         j += width
-                    if j > i + width:
-                        out.append(["+", body])
-                        i = j
-                        changed = True
-                        continue
-                out.append(nodes[i])
-                i += 1
-            nodes = out
-            width += 1
+                    nodes = _absorb([*nodes[:i], body[0] if width == 1 and body[0][0] == "+" else ["+", body], *nodes[j:]])
+                    ids, changed = number(), True
+                    break
+            else:
+                width += 1
     return nodes
 
 
@@ -204,10 +213,27 @@ def _join(a, b):
     return [kind, body] if a[0] == b[0] else ["?", [["+", body]]]
 
 
+def lift(nodes: list, other: list) -> list:
+    """Runs that are the body of a repeated group of the other expression count as that group."""
+    for body in [x[1] for x in other if x[0] == "+"]:
+        out, i = [], 0
+        while i < len(nodes):
+            if nodes[i : i + len(body)] == body:
+                if not out or out[-1] != ["+", body]:
+                    out.append(["+", body])
+                i += len(body)
+            else:
+                out.append(nodes[i])
+                i += 1
+        nodes = out
+    return nodes
+
+
 def align(a: list, b: list) -> list:
     """One expression for both: matched nodes joined, unmatched runs optional, folded again."""
     if a == b:
         return a
+    a, b = lift(a, b), lift(b, a)
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -216,6 +242,8 @@ def align(a: list, b: list) -> list:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     n, m = len(x), len(y)
+    if n * m > LARGE:
+        return fold(a[:head] + _align_large(x, y) + (a[len(a) - tail :] if tail else []))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -223,6 +251,12 @@ def align(a: list, b: list) -> list:
     out, i, j, left, right = [], 0, 0, [], []
 
     def flush():
+        for one, run in ((left, right), (right, left)):  # a group against one instance of its body
+            if len(one) == 1 and one[0][0] in "?+" and one[0][1] == run:
+                out.append(one[0])
+                left.clear()
+                right.clear()
+                return
         for run in (left, right):
             if run:
                 out.extend([run[0]] if len(run) == 1 and run[0][0] == "?" else [["?", list(run)]])
@@ -245,6 +279,17 @@ def align(a: list, b: list) -> list:
     return fold(a[:head] + out + (a[len(a) - tail :] if tail else []))
 
 
+def _align_large(x: list, y: list) -> list:
+    """The same for long streams by matching blocks instead of the quadratic table."""
+    out: list = []
+    for kind, i, j, k, l in SequenceMatcher(None, [json.dumps(v) for v in x], [json.dumps(v) for v in y], autojunk=False).get_opcodes():  # noqa: E741
+        if kind == "equal":
+            out += x[i:j]
+        else:
+            out += [["?", run] for run in (x[i:j], y[k:l]) if run]
+    return out
+
+
 def slots(nodes: list, open_: tuple = ()) -> set[tuple]:
     """The paths of enclosing elements of all text slots of a wrapper."""
     found: set[tuple] = set()
@@ -361,20 +406,16 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
 
     def decide(batches):
-        import pandas as pd
-
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "tags": [sorted(content_tags(json.loads(w))) for w in pdf["wrapper"]]})
+            yield frame({"host": pdf["host"].to_numpy(), "tags": [sorted(content_tags(json.loads(w))) for w in pdf["wrapper"]]})
 
     wrappers = scratch.table(infer_wrappers(rows), "wrappers")
     models = scratch.table(wrappers.mapInPandas(decide, "host string, tags array<string>"), "models")
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             text = [read_page(h, set(t) if t is not None else set()) for h, t in zip(pdf["html"], pdf["tags"])]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield frame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
     return rows.join(models, "host", "left").select("page_id", "url", "html", "tags").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 

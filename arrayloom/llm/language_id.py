@@ -198,6 +198,7 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is known; trained on their own labels. A document without a letter is rejected."""
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model, columns).where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"))
+    found = identify(inner, model, [f"c{i}" for i in range(len(docs.columns))]).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

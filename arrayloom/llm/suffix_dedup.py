@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hasher, id_filter, in_filter, mix, read_table, text_or_empty
+from .common import Scratch, frame, hasher, id_filter, in_filter, mix, read_table, text_or_empty
 
 LEAST = 400
 GRAM = 128
@@ -161,11 +161,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram:
     table = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "fp"))
 
     def read(batches):
-        import pandas as pd
-
         for pdf in batches:
             pdf = pdf[in_filter(table.value, pdf["fp"].to_numpy())]
-            yield pd.DataFrame({"fp": pdf["fp"], "n": pdf["n"], "data": [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]})
+            yield frame({"fp": pdf["fp"].to_numpy(), "n": pdf["n"].to_numpy(), "data": [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]})
 
     texts = _texts(docs).where(F.col("n") >= least).mapInPandas(read, "fp long, n long, data binary")
     texts = scratch.table(texts.groupBy(*KEY).agg(F.first("data").alias("data")).join(wanted, KEY, "left_semi"), "texts")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, frame, read_table
 
 SAMPLE = 20_000
 FEATURES = 8_192
@@ -45,7 +45,7 @@ def words(text: str | None) -> list[str]:
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
 @dataclass
@@ -129,14 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     rows = scratch.table(texts.join(known, "doc_id").select("text", "toxic"), "sample")
 
     def presence(batches):
-        import pandas as pd
-
         for pdf in batches:
             yes, no = Counter(), Counter()
             for t, toxic in zip(pdf["text"], pdf["toxic"]):
                 (yes if toxic else no).update({f for w in set(words(t)) for f in word_features(w)})
             both = list(yes.keys() | no.keys())
-            yield pd.DataFrame({"f": both, "yes": [yes[f] for f in both], "no": [no[f] for f in both]})
+            yield frame({"f": both, "yes": [yes[f] for f in both], "no": [no[f] for f in both]})
 
     n_yes, n_no = rows.where("toxic").count(), rows.where("not toxic").count()
     if not n_yes or not n_no:
@@ -150,14 +148,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     inside = docs.sparkSession.sparkContext.broadcast(frozenset(features))
 
     def hits(batches):
-        import pandas as pd
-
         for pdf in batches:
             out = []
             for t in pdf["text"]:
                 held = Counter(f for w in words(t) for f in word_features(w) if f in inside.value)
                 out.append((list(held.keys()), list(held.values())))
-            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [x[0] for x in out], "n": [x[1] for x in out]})
+            yield frame({"toxic": pdf["toxic"].to_numpy(), "f": [x[0] for x in out], "n": [x[1] for x in out]})
 
     # A row with no feature only counts: it is the same example however often it comes.
     held = rows.mapInPandas(hits, "toxic boolean, f array<string>, n array<long>").groupBy("toxic", "f", "n").count().orderBy("toxic", F.size("f"), "f", "n").collect()
