@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 3
-CACHED = 300_000  #: words whose ids a worker keeps
+CACHED = 700_000  #: chunks whose ids a worker keeps from one batch to the next
 WELL_FILLED = 0.98  #: pieces of bins under this are pooled over blocks once
 
 
@@ -39,43 +40,97 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks between ASCII
-    white space, one after another; chunks repeat, so their ids are kept. A final '.' or ',' after a letter is a word of
-    its own.
+    white space, one after another; chunks repeat, so their ids are kept. Marks after letters are a word of their own. Unknown words of small letters in normal form are encoded many at a time, without the normaliser that
+    would leave them as they are, and told apart by their word-end tokens; where the numbers of words and ends differ,
+    and for all other chunks, each is encoded alone by the full tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, chunk: str) -> bytes:
+    def _alone(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
-            return self._chunk(chunk[:-1]) + self._chunk(chunk[-1])
-        if chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            return self._chunk(chunk.lower())
-        return self._ids(chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = self.known.get(chunk)
-        if got is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            got = self._learn(chunk)
-            if len(chunk) < 64:
-                self.known[chunk] = got
-        return got
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words) or stop[-1] != len(ids):
+            return [self._alone(w) for w in words]
+        raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Makes the ids of all chunks known."""
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
+            known[""] = b""
+        plain: dict[str, str] = {}  # chunks of small letters, or of letters and marks, and their words
+        marked: dict[str, tuple[str, str]] = {}
+        odd = []
+        for c in chunks.difference(known):
+            if c.isalpha():
+                if c.isascii():
+                    plain[c] = c.lower()
+                elif c == c.lower() and is_normalized("NFC", c):
+                    plain[c] = c
+                else:
+                    odd.append(c)
+                continue
+            word = c.rstrip(_MARKS)
+            if not word.isalpha():
+                odd.append(c)
+            elif word.isascii():
+                marked[c] = word.lower(), c[len(word) :]
+            elif word == word.lower() and is_normalized("NFC", word):
+                marked[c] = word, c[len(word) :]
+            else:
+                odd.append(c)
+        words = list(set(plain.values()).union([w for w, _ in marked.values()]).difference(known))
+        for i in range(0, len(words), 512):
+            known.update(zip(words[i : i + 512], self._words(words[i : i + 512])))
+        for x in {m for _, m in marked.values()}.difference(known).union(odd):
+            known[x] = self._alone(x)
+        for c, w in plain.items():
+            if c not in known:
+                known[c] = known[w]
+        for c, (w, m) in marked.items():
+            known[c] = known[w] + known[m]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Chunks are told apart and numbered by Arrow; ids are gathered by chunk number."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def encode(self, text: str) -> bytes:
         for c in "\t\n\x0b\x0c\r":
-            if c in text:
-                text = text.replace(c, " ")
-        known, chunk = self.known, self._chunk
-        return b"".join([known.get(w) or chunk(w) for w in text.split(" ") if w])
+            texts = [t.replace(c, " ") if c in t else t for t in texts]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self.learn(set(chunks))
+        ids = [self.known[c] for c in chunks]
+        pool, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        at = coded.indices.to_numpy()
+        many = size[at]
+        stop = np.concatenate(([0], np.cumsum(many)))
+        out = pool[np.repeat((np.cumsum(size) - size)[at] - stop[:-1], many) + np.arange(stop[-1])]
+        edge = stop[lists.offsets.to_numpy()].tolist()
+        return [out[x:y].tobytes() for x, y in zip(edge, edge[1:])]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
 
+#: ASCII marks but ' and <: after letters they are a word of their own (' starts contractions, < special tokens).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -97,12 +152,13 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         enc, n = encoder(tokenizer), 0
         seed = TaskContext.get().partitionId() << 32
         for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = enc.encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            out, texts, doc_ids = [], pdf["text"].tolist(), pdf["doc_id"].tolist()
+            for i in range(0, len(texts), 1024):
+                for doc_id, ids in zip(doc_ids[i : i + 1024], enc.encode_all([t or "" for t in texts[i : i + 1024]])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             if out:
                 made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 made["doc_id"] = made["doc_id"].astype("Int64")
