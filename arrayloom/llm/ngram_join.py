@@ -262,7 +262,7 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE
     pair = (F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b"))
     star = scratch.table(spokes.join(facts, "cls").join(others, F.col("hub") == F.col("o_cls")).where(_possible(percent)).select(*pair).distinct(), "star")
     linked = scratch.table(_verify(star, sets, percent), "linked")
-    comp = _components(linked, scratch, "cc-a", rounds=1, partial=True)  # merged further at the end
+    comp = _components(linked, scratch, "cc-a", rounds=2, partial=True)  # two rounds gather the stars; merged further at the end
     # Holders outside their hub's component against holders of other components.
     label = held.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "hub", F.coalesce("root", "cls").alias("root"))
     label = scratch.table(label, "label")
