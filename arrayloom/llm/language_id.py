@@ -174,18 +174,19 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", dimensio
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with lang_pred and score."""
+    from pyspark.sql import types as T
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("_text_in"))
+    alone = text not in keep
+    chosen = docs.select(*[docs[c] for c in keep], *([docs[text].cast("string").alias("_text_in")] if alone else []))
 
     def run(batches):
         m = shared.value
         for pdf in batches:
-            found = [m.predict(t) for t in pdf.pop("_text_in")]
+            found = [m.predict(t) for t in (pdf.pop("_text_in") if alone else pdf[text])]
             pdf["lang_pred"], pdf["score"] = [x[0] for x in found], [x[1] for x in found]
             yield pdf
 
-    from pyspark.sql import types as T
-
     fields = [f for f in chosen.schema.fields if f.name != "_text_in"]
     return chosen.mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
@@ -199,6 +200,6 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is known; trained on their own labels. A document without a letter is rejected."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"))
-    found = identify(inner, model, [f"c{i}" for i in range(len(docs.columns))]).where(F.col("lang_pred") != UNKNOWN)
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = identify(inner, model, inner.columns, f"c{docs.columns.index('text')}").where(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
