@@ -19,25 +19,30 @@ others are rescaled; rows that repeat a doc_id get the same rate; null doc_ids g
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, frame, read_table
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 FEATURES = 2_048
 SUPPORT = 5
 STEPS = 60
 TOLERANCE = 1e-6
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
-_TOKEN = re.compile(r"\S+")
-_LETTERS = re.compile(r"[^\W\d_]+")
+CAP = 8  #: a word counts this often at most
+CACHED = 300_000
+
+# Byte tables: ASCII characters that aren't letters part words; capitals and marks are counted by deleting all other bytes.
+_PARTS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
+_NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
+_NOT_MARK = bytes(c for c in range(256) if c <= 32 or c >= 127 or chr(c).isalnum())
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -46,28 +51,37 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("domain is not null")
 
 
-def features(text: str | None) -> tuple[int, Counter]:
-    """Number of tokens, and the sparse features of a text."""
+def measure(text: str | None) -> tuple[int, list[str], set[str], list[str]]:
+    """Number of tokens, the words, the different words, and the style features of a text."""
     text = text or ""
-    tokens = _TOKEN.findall(text)
+    tokens = text.split()
     n = len(tokens)
-    out = Counter(w for w in _LETTERS.findall(text.lower()))
-    distinct = out.copy()
-    for w, k in distinct.items():
-        if len(w) > 4:
-            out[w[:4] + "*"] += k
-            if len(w) > 5:
-                out[w[:5] + "*"] += k
-    if n:
-        letters = sum(k * len(w) for w, k in distinct.items())
-        capital = sum(c.isupper() for c in text)
-        share = lambda name, x: f"={name}:{min(9, int(10 * x))}"
-        out[share("letters", letters / max(1, len(text)))] = 1
-        out[share("capital", capital / max(1, letters))] = 1
-        out[share("distinct", len(distinct) / n)] = 1
-        out[share("next", sum(a == b for a, b in zip(tokens, tokens[1:])) / n)] = 1
-        out[share("marks", sum(not t[-1].isalpha() for t in tokens) / n)] = 1
-    return n, out
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).decode("utf-8", "surrogatepass").split()
+    distinct = set(words)
+    if not n:
+        return 0, words, distinct, []
+    letters, raw = len("".join(words)), text.encode("utf-8", "surrogatepass")
+    shares = {
+        "letters": letters / len(text),
+        "capital": len(raw.translate(None, _NOT_CAPITAL)) / max(1, letters),
+        "distinct": len(distinct) / n,
+        "next": sum(map(eq, tokens, tokens[1:])) / n,
+        "marks": len(raw.translate(None, _NOT_MARK)) / n,
+    }
+    return n, words, distinct, [f"={k}:{min(9, int(10 * x))}" for k, x in shares.items()]
+
+
+def word_features(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
+
+
+def features(text: str | None) -> Counter:
+    _, words, _, style = measure(text)
+    out = Counter(style)
+    for w, k in Counter(words).items():
+        for f in word_features(w):
+            out[f] += min(k, CAP)
+    return out
 
 
 @dataclass
@@ -75,13 +89,29 @@ class Softmax:
     domains: list[str]
     weights: dict[str, np.ndarray]
     bias: np.ndarray
+    light: set[str] = field(default_factory=set, repr=False)  #: words known to have no weight
+    heavy: dict[str, np.ndarray] = field(default_factory=dict, repr=False)  #: words with the weights of all their features
+
+    def __getstate__(self):
+        return {"domains": self.domains, "weights": self.weights, "bias": self.bias, "light": set(), "heavy": {}}
 
-    def posterior(self, found: Counter) -> np.ndarray:
+    def posterior(self, words: list[str], distinct: set[str], style: list[str]) -> np.ndarray:
         z = self.bias.copy()
-        for f, k in found.items():
-            w = self.weights.get(f)
-            if w is not None:
-                z += w * min(k, 8)
+        for f in style:
+            if f in self.weights:
+                z += self.weights[f]
+        if len(self.light) + len(self.heavy) > CACHED:
+            self.light.clear()
+            self.heavy.clear()
+        for word in distinct.difference(self.light):
+            w = self.heavy.get(word)
+            if w is None:
+                held = [self.weights[f] for f in word_features(word) if f in self.weights]
+                if not held:
+                    self.light.add(word)
+                    continue
+                w = self.heavy[word] = np.sum(held, axis=0)
+            z += w * min(words.count(word), CAP)
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -90,7 +120,7 @@ def fit_softmax(rows: list[tuple[list[str], list[int]]], y: np.ndarray, domains:
     index = {f: i for i, f in enumerate(names)}
     r = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     c = np.array([index[f] for fs, _ in rows for f in fs], np.int64)
-    x = np.array([min(k, 8) for _, ks in rows for k in ks], float)
+    x = np.array([k for _, ks in rows for k in ks], float)
     d, n, k = len(domains), len(rows), len(names)
     share = np.bincount(y, minlength=d) / n
     w, b = np.zeros((k, d)), np.log(share + 1e-9)
@@ -126,7 +156,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int
         for pdf in batches:
             seen: dict[str, Counter] = {}
             for t, d in zip(pdf["text"], pdf["domain"]):
-                seen.setdefault(d, Counter()).update(features(t)[1].keys())
+                seen.setdefault(d, Counter()).update(features(t).keys())
             for d, c in seen.items():
                 yield pd.DataFrame({"f": list(c), "domain": d, "k": list(c.values())})
 
@@ -142,11 +172,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int
     kept = docs.sparkSession.sparkContext.broadcast(frozenset(names))
 
     def held(batches):
-        import pandas as pd
-
         for pdf in batches:
-            found = [{f: k for f, k in features(t)[1].items() if f in kept.value} for t in pdf["text"]]
-            yield pd.DataFrame({"domain": pdf["domain"], "f": [list(x) for x in found], "k": [list(x.values()) for x in found]})
+            found = [{f: k for f, k in features(t).items() if f in kept.value} for t in pdf["text"]]
+            yield frame({"domain": pdf["domain"].to_numpy(), "f": [list(x) for x in found], "k": [list(x.values()) for x in found]})
 
     examples = rows.mapInPandas(held, "domain string, f array<string>, k array<long>").collect()
     examples.sort(key=lambda r: (r["domain"], r["f"], r["k"]))
@@ -159,11 +187,13 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
-            found = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [n for n, _ in found], "p": [shared.value.posterior(c).tolist() for _, c in found]})
+            n_tokens, p = [], []
+            for t in pdf["text"]:  # a text's words go before the next text's come
+                n, words, distinct, style = measure(t)
+                n_tokens.append(n)
+                p.append(shared.value.posterior(words, distinct, style).tolist())
+            yield frame({"doc_id": pdf["doc_id"], "n_tokens": n_tokens, "p": p})
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
