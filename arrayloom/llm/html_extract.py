@@ -3,7 +3,7 @@
 A page is a stream of tokens: tags (name and class words) and text. Pages of one host come from a few templates, so their
 streams are aligned one after another into a wrapper, a union-free regular expression over tags with
 
-* text slots, where texts differ or are merely text,
+* texts: each keeps the fingerprints of what all its pages show there; a mismatch removes them, and without any it is a slot,
 * optional groups, where one stream has tokens that the other lacks, and
 * repeated groups, where a run of tokens follows itself.
 
@@ -11,13 +11,17 @@ First, each stream is reduced by folding runs that repeat side by side into repe
 aligned by longest common subsequence; groups align with groups of the same kind when their bodies do. Whatever stays
 unmatched becomes an optional group, and the result is folded again, until nothing changes.
 
+A host's pages with an article, with a main element only and with neither are templates of their own, with a wrapper each.
 Aligning is done in three levels: within an input partition, by (host, salt), by host. Each passes on one wrapper for each
-host, so a host with a third of all pages is never gathered: its pages are met where they lie.
+host and template, so a host with a third of all pages is never gathered: its pages are met where they lie.
 
-The wrapper gives each host its slots with their path of enclosing elements. A slot is content if it lies in the
+The wrapper gives each host its slots with their path of enclosing elements, and its template texts: those that at least
+`PAGES` different pages have at one place, and all pages that have the place. A slot is content if it lies in the
 wrapper's article (or main) element and in none of the boilerplate elements (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments); in wrappers without an article every slot outside
-boilerplate is content. Each page is then read against its host's slots.
+boilerplate is content. Each page is then read against its template's wrapper, by path: a block whose texts are all template
+texts is left out, and a page of nothing but template texts keeps them. Templates with fewer than `PAGES` pages that
+differ have no template texts, since nothing tells them from content there.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by a line feed in page order; nothing else is dropped or cut.
@@ -29,10 +33,12 @@ pages each; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,6 +48,8 @@ from .common import Scratch, frame, read_table
 
 SALTS = 32
 WIDEST = 256  #: nodes in a run that is looked at as a repeated group
+PAGES = 3  #: pages that differ and show a text at one place, for it to be the template's
+SHAPES = 4096  #: shapes of a host's pages that a partition holds before they are aligned
 LARGE = 400_000  #: cells of an alignment table beyond which blocks are matched instead
 
 # Element and class names of the HTML standard and common usage.
@@ -134,12 +142,57 @@ def events(html: str):
 
 # ---------------------------------------------------------------- wrappers
 # Nodes: ["<", name, words...], [">", name], ["#"], ["?", body], ["+", body]; bodies are lists of nodes.
+class Text(list):
+    """The node ["#"] with the number of pages that have it and the fingerprints of the texts that all of them show there."""
+
+    __slots__ = ("pages", "same")
+
+    def __init__(self, pages: int, same: frozenset):
+        super().__init__(("#",))
+        self.pages, self.same = pages, same
+
+
+def fingerprint(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def unite(a: list, b: list, apart: bool) -> list:
+    """Two runs of one shape as one: of different pages (apart), what differs goes; of the same pages, both are shown."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x[0] == "#":
+            if apart:
+                x = Text(x.pages + y.pages, x.same & y.same)
+            elif x.pages == y.pages:
+                x = Text(x.pages, x.same | y.same)
+            elif x.pages < y.pages:
+                x = y
+        elif x[0] == "?" or x[0] == "+":
+            x = [x[0], unite(x[1], y[1], apart)]
+        out.append(x)
+    return out
+
+
+def dump(nodes: list) -> str:
+    plain = lambda nodes: [["#", x.pages, *sorted(x.same)] if x[0] == "#" else [x[0], plain(x[1])] if x[0] in "?+" else x for x in nodes]
+    return json.dumps(plain(nodes))
+
+
+def load(wrapper: str) -> list:
+    rich = lambda nodes: [Text(x[1], frozenset(x[2:])) if x[0] == "#" else [x[0], rich(x[1])] if x[0] in "?+" else x for x in nodes]
+    return rich(json.loads(wrapper))
+
+
 def stream(html: str) -> list:
     out = []
     for kind, x, _ in events(html):
         if kind == "#":
-            if x.strip() and (not out or out[-1] != ["#"]):
-                out.append(["#"])
+            if x.strip():
+                text = Text(1, frozenset((fingerprint(x),)))
+                if out and out[-1][0] == "#":
+                    out[-1:] = unite(out[-1:], [text], False)
+                else:
+                    out.append(text)
         else:
             out.append(["<", x[0], *x[1]] if kind == "<" else [">", x[0]])
     return out
@@ -164,9 +217,13 @@ def _absorb(nodes: list) -> list:
         if x[0] == "+":
             w = len(x[1])
             while out[-w:] == x[1] or out[-1:] == [x]:
-                del out[-(1 if out[-1] == x else w) :]
+                k = 1 if out[-1] == x else w
+                x = ["+", unite(x[1], out[-1][1] if out[-1] == x else out[-w:], False)]
+                del out[-k:]
             while nodes[i : i + w] == x[1] or nodes[i : i + 1] == [x]:
-                i += 1 if nodes[i] == x else w
+                k = 1 if nodes[i] == x else w
+                x = ["+", unite(x[1], nodes[i][1] if nodes[i] == x else nodes[i : i + w], False)]
+                i += k
         out.append(x)
     return out
 
@@ -174,19 +231,24 @@ def _absorb(nodes: list) -> list:
 def fold(nodes: list, widest: int = WIDEST) -> list:
     """Balanced runs of up to `widest` nodes that follow themselves become repeated groups; shortest first, until nothing changes."""
     nodes, changed = _absorb(nodes), True
-    names: dict[str, int] = {}
-    number = lambda: np.array([names.setdefault(json.dumps(x), len(names)) for x in nodes])
+    names: dict[str | tuple, int] = {}
+    number = lambda: np.array([names.setdefault(json.dumps(x) if x[0] in "?+" else tuple(x), len(names)) for x in nodes])
     ids = number()
     while changed:
         changed, width = False, 1
         while width <= min(widest, len(nodes) // 2):
-            same = np.concatenate(([0], np.cumsum(ids[:-width] == ids[width:])))
+            equal = ids[:-width] == ids[width:]
+            if np.count_nonzero(equal) < width:
+                width += 1
+                continue
+            same = np.concatenate(([0], np.cumsum(equal)))
             starts = np.flatnonzero(same[width:] - same[:-width] == width) if len(same) > width else []
             for i in starts:
                 body = nodes[i : i + width]
                 if _balanced(body) and body != [["#"]]:
                     j = i + width
                     while nodes[j : j + width] == body:
+                        body = unite(body, nodes[j : j + width], False)
                         j += width
                     nodes = _absorb([*nodes[:i], body[0] if width == 1 and body[0][0] == "+" else ["+", body], *nodes[j:]])
                     ids, changed = number(), True
@@ -207,7 +269,7 @@ def _alike(a, b) -> bool:
 
 def _join(a, b):
     if a == b:
-        return a
+        return unite([a], [b], True)[0]
     kind = "+" if a[0] == b[0] == "+" else "?" if a[0] == b[0] else "+"
     body = align(a[1], b[1])
     return [kind, body] if a[0] == b[0] else ["?", [["+", body]]]
@@ -219,8 +281,11 @@ def lift(nodes: list, other: list) -> list:
         out, i = [], 0
         while i < len(nodes):
             if nodes[i : i + len(body)] == body:
-                if not out or out[-1] != ["+", body]:
-                    out.append(["+", body])
+                own = ["+", nodes[i : i + len(body)]]
+                if out and out[-1] == own:
+                    out[-1:] = unite(out[-1:], [own], False)
+                else:
+                    out.append(own)
                 i += len(body)
             else:
                 out.append(nodes[i])
@@ -232,7 +297,7 @@ def lift(nodes: list, other: list) -> list:
 def align(a: list, b: list) -> list:
     """One expression for both: matched nodes joined, unmatched runs optional, folded again."""
     if a == b:
-        return a
+        return unite(a, b, True)
     a, b = lift(a, b), lift(b, a)
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -241,9 +306,10 @@ def align(a: list, b: list) -> list:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    first, last = unite(a[:head], b[:head], True), unite(a[len(a) - tail :], b[len(b) - tail :], True)
     n, m = len(x), len(y)
     if n * m > LARGE:
-        return fold(a[:head] + _align_large(x, y) + (a[len(a) - tail :] if tail else []))
+        return fold(first + _align_large(x, y) + last)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -253,7 +319,7 @@ def align(a: list, b: list) -> list:
     def flush():
         for one, run in ((left, right), (right, left)):  # a group against one instance of its body
             if len(one) == 1 and one[0][0] in "?+" and one[0][1] == run:
-                out.append(one[0])
+                out.append([one[0][0], unite(one[0][1], run, True)])
                 left.clear()
                 right.clear()
                 return
@@ -276,7 +342,7 @@ def align(a: list, b: list) -> list:
     left.extend(x[i:])
     right.extend(y[j:])
     flush()
-    return fold(a[:head] + out + (a[len(a) - tail :] if tail else []))
+    return fold(first + out + last)
 
 
 def _align_large(x: list, y: list) -> list:
@@ -284,15 +350,15 @@ def _align_large(x: list, y: list) -> list:
     out: list = []
     for kind, i, j, k, l in SequenceMatcher(None, [json.dumps(v) for v in x], [json.dumps(v) for v in y], autojunk=False).get_opcodes():  # noqa: E741
         if kind == "equal":
-            out += x[i:j]
+            out += unite(x[i:j], y[k:l], True)
         else:
             out += [["?", run] for run in (x[i:j], y[k:l]) if run]
     return out
 
 
-def slots(nodes: list, open_: tuple = ()) -> set[tuple]:
-    """The paths of enclosing elements of all text slots of a wrapper."""
-    found: set[tuple] = set()
+def slots(nodes: list, open_: tuple = ()) -> dict[tuple, set[int]]:
+    """The paths of enclosing elements of all texts of a wrapper, with the template's texts there."""
+    found: dict[tuple, set[int]] = {}
     stack = [list(open_)]
 
     def walk(nodes):
@@ -303,7 +369,9 @@ def slots(nodes: list, open_: tuple = ()) -> set[tuple]:
                 while stack[0] and stack[0].pop()[0] != x[1]:
                     pass
             elif x[0] == "#":
-                found.add(tuple(stack[0]))
+                fixed = found.setdefault(tuple(stack[0]), set())
+                if x.pages >= PAGES:
+                    fixed |= x.same
             elif x[0] == "?" and not _balanced(x[1]):
                 kept = list(stack[0])
                 walk(x[1])
@@ -330,20 +398,30 @@ def content_tags(wrapper: list) -> set[str]:
     return set()
 
 
-def main_text(html: str, tags: set[str]) -> str:
-    """The blocks of text inside one of the tags (anywhere, if there are none) and outside boilerplate."""
-    blocks, now = [], []
+def template_texts(wrapper: list) -> list:
+    """[path, fingerprints]: the template's texts outside boilerplate elements."""
+    return [[path, sorted(fixed)] for path, fixed in slots(wrapper).items() if fixed and not any(noise(e) for e in path)]
+
+
+def main_text(html: str, tags: set[str], fixed: dict[tuple, set[int]]) -> str:
+    """The blocks of text inside one of the tags (anywhere, if there are none), outside boilerplate and not the template's."""
+    blocks, now, varies = [], [], not fixed
 
     def end():
+        nonlocal varies
         text = _SPACE.sub(" ", "".join(now)).strip()
-        if text:
+        if text and varies:
             blocks.append(text)
         now.clear()
+        varies = not fixed
 
     for kind, x, open_ in events(html):
         if kind == "#":
             if (not tags or any(e[0] in tags for e in open_)) and not any(noise(e) for e in open_):
                 now.append(entities.unescape(x))
+                if not varies and x.strip():
+                    here = fixed.get(tuple(open_))
+                    varies = not here or fingerprint(x) not in here
         elif x[0] in BLOCKS or noise(x) and x[0] not in INLINE:
             end()
         elif x[0] == "br":
@@ -352,11 +430,22 @@ def main_text(html: str, tags: set[str]) -> str:
     return "\n".join(blocks)
 
 
-def read_page(html: str | None, tags: set[str]) -> str:
+def read_page(html: str | None, tags: set[str], fixed: dict[tuple, set[int]] | None = None) -> str:
+    if not html:
+        return ""
+    found = main_text(html, tags, fixed or {})
+    return found if found or not tags and not fixed else main_text(html, set(), {})
+
+
+def match_page(html: str | None, templates: list[tuple[set, dict]]) -> str:
+    """By the first template whose elements hold text on the page; its template texts stay only if there is nothing else."""
     if not html:
         return ""
-    found = main_text(html, tags)
-    return found if found or not tags else main_text(html, set())
+    for tags, fixed in templates:
+        found = main_text(html, tags, fixed) or (main_text(html, tags, {}) if fixed else "")
+        if found:
+            return found
+    return read_page(html, set())
 
 
 # ---------------------------------------------------------------- distribution
@@ -364,40 +453,49 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def template_of(nodes: list) -> str:
+    names = {x[1] for x in nodes if x[0] == "<"}
+    return next((t for tags in (MAIN_TAGS, SECOND_TAGS) for t in sorted(tags & names)), "")
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): one expression for each host, from all of its pages."""
+    """host, template, wrapper (JSON): one expression for each host and template, from all of its pages."""
+    schema = "host string, template string, wrapper string"
 
     def local(batches):
         import pandas as pd
 
-        held: dict[str, list] = {}
-        seen: dict[str, set[str]] = {}
+        held: dict[tuple[str, str], dict[str, list]] = {}  # by shape
+        seen: set[int] = set()
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"]):
-                s = fold(stream(page or ""))
-                key = json.dumps(s)
-                known = seen.setdefault(host, set())
-                if key in known:
+                key = hash((host, page))
+                if key in seen:  # copies are no evidence of a template
                     continue
-                if len(known) < 4096:
-                    known.add(key)
-                held[host] = align(held[host], s) if host in held else s
+                seen.add(key)
+                s = stream(page or "")
+                group = (host, template_of(s))
+                s = fold(s)
+                shape = json.dumps(s)
+                known = held.setdefault(group, {})
+                known[shape] = unite(known[shape], s, True) if shape in known else s
+                if len(known) > SHAPES:
+                    w = reduce(align, known.values())
+                    held[group] = {json.dumps(w): w}
         if held:
-            yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
+            wrappers = [dump(reduce(align, known.values())) for known in held.values()]
+            yield pd.DataFrame({"host": [h for h, _ in held], "template": [t for _, t in held], "wrapper": wrappers})
 
     def merge(pdf):
         import pandas as pd
 
-        out = None
-        for w in sorted(set(pdf["wrapper"])):
-            w = json.loads(w)
-            out = w if out is None else align(out, w)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(out)]})
+        out = reduce(align, map(load, sorted(set(pdf["wrapper"]))))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]], "wrapper": [dump(out)]})
 
-    parts = pages.select("host", "html").mapInPandas(local, "host string, wrapper string")
+    parts = pages.select("host", "html").mapInPandas(local, schema)
     parts = parts.distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    parts = parts.groupBy("host", "salt").applyInPandas(lambda pdf: merge(pdf), "host string, wrapper string")
-    return parts.distinct().groupBy("host").applyInPandas(lambda pdf: merge(pdf), "host string, wrapper string")
+    parts = parts.groupBy("host", "template", "salt").applyInPandas(lambda pdf: merge(pdf), schema)
+    return parts.distinct().groupBy("host", "template").applyInPandas(lambda pdf: merge(pdf), schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -407,17 +505,29 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def decide(batches):
         for pdf in batches:
-            yield frame({"host": pdf["host"].to_numpy(), "tags": [sorted(content_tags(json.loads(w))) for w in pdf["wrapper"]]})
+            found = [load(w) for w in pdf["wrapper"]]
+            yield frame({"host": pdf["host"].to_numpy(), "model": [json.dumps([sorted(content_tags(w)), template_texts(w)]) for w in found]})
+
+    def parse(models) -> list[tuple[set, dict]]:
+        made = sorted(map(json.loads, models), key=lambda m: (not m[0], m[0]))  # articles, main elements, whole pages
+        return [(set(tags), {tuple((name, tuple(words)) for name, words in path): set(same) for path, same in fixed}) for tags, fixed in made]
 
     wrappers = scratch.table(infer_wrappers(rows), "wrappers")
-    models = scratch.table(wrappers.mapInPandas(decide, "host string, tags array<string>"), "models")
+    models = wrappers.mapInPandas(decide, "host string, model string")
+    models = scratch.table(models.groupBy("host").agg(F.collect_list("model").alias("models")), "models")
 
     def run(batches):
+        known: dict[tuple, list] = {}
         for pdf in batches:
-            text = [read_page(h, set(t) if t is not None else set()) for h, t in zip(pdf["html"], pdf["tags"])]
+            text = []
+            for page, m in zip(pdf["html"], pdf["models"]):
+                m = () if m is None else tuple(m)
+                if m not in known:
+                    known[m] = parse(m)
+                text.append(match_page(page, known[m]))
             yield frame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.join(models, "host", "left").select("page_id", "url", "html", "tags").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(models, "host", "left").select("page_id", "url", "html", "models").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

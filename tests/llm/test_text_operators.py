@@ -391,3 +391,20 @@ def test_nested_and_long_streams():
     w = html_extract.align(html_extract.fold(html_extract.stream(long)), html_extract.fold(html_extract.stream(long[: len(long) // 2])))
     assert html_extract.content_tags(w) == set()
     assert html_extract.read_page(long, set()).count("\n") == 2999
+
+
+def test_template_texts(spark):
+    page = "<html><body><div class=intro><p>Read us daily</p></div><article><h1>Head {0}</h1><p>Text {0} <b>of</b> it</p>{1}<p>All rights kept</p></article></body></html>"
+    rows = [("http://t.example/a", page.format(i, f"<p>More {i}</p>" * (i % 3))) for i in range(6)]
+    rows.append(("http://t.example/m", "<body><div class=intro><p>Read us daily</p></div><div>Around</div><main><p>Inside</p></main></body>"))
+    rows += [("http://w.example/b", f"<body><div class=intro><p>Read us daily</p></div><div class=c><p>Words {i}</p></div></body>") for i in range(4)]
+    rows += [("http://few.example/c", f"<body><div><p>Shared</p></div><div class=c><p>Own {i}</p></div></body>") for i in range(2)]
+    rows += [("http://copies.example/d", "<body><div><p>Same</p></div></body>")] * 4
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract(df.repartition(3)).collect()}
+    for i in range(6):
+        assert found[i].split("\n") == [f"Head {i}", f"Text {i} of it", *[f"More {i}"] * (i % 3)]
+    assert found[6] == "Inside"
+    assert [found[7 + i] for i in range(4)] == [f"Words {i}" for i in range(4)]
+    assert [found[11], found[12]] == ["Shared\nOwn 0", "Shared\nOwn 1"]
+    assert {found[13 + i] for i in range(4)} == {"Same"}
