@@ -69,6 +69,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_per_id(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("doc_id is null or count > 1").limit(1).count() == 0
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row, doc_id, text, and the table's own columns as c0, c1, ...; written, so that row numbers stay."""
+    own = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *own)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = scratch.table(rows, "numbered")
+    return rows.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), *at.values())
+
+
+def own_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, frame, hasher, id_filter, in_filter, mix, read_table
+from .common import Scratch, components, frame, hasher, id_filter, in_filter, mix, numbered, own_columns, read_table, row_per_id
 
 WORDS = 16  #: 64-bit words of parity bits for each class
 RARE = 16  #: tokens that more classes hold are indexed in pairs
@@ -295,7 +295,16 @@ def _components(linked: DataFrame, scratch: Scratch, name: str, **how) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the least doc_id stays. Empty documents stay."""
+    """The documents without near copies: of each component the row with the least doc_id stays. Empty documents stay.
+
+    Rows with a null doc_id or a repeated one are documents each; a row with a null doc_id stays if no other of its component has one.
+    """
+    if not row_per_id(docs):
+        rows = numbered(docs, Scratch(docs.sparkSession, "keep-one"))
+        found = near_copies(rows.select(F.col("row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+        return own_columns(rows.join(kept, "row", "left_semi"), docs)
     found = near_copies(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     return docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left_semi")
 

@@ -185,6 +185,16 @@ def test_keep_one(spark, awkward):
     assert found(ngram_join.near_copies(odd)) == {None: (None, None), 3: (0, 3)}
 
 
+def test_keep_one_rows_without_own_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["alone and clean here today", long, long + " more", long, "only null ids hold this text", "only null ids hold this text", None, "", "repeated row of the table", "repeated row of the table"]
+    docs = table(spark, texts, [None, None, 5, 4, None, None, None, None, 9, 9])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    expected = [(None, ""), (None, "alone and clean here today"), (None, "only null ids hold this text"), (4, long), (9, "repeated row of the table"), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, expected))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (7, 7), (2, 1), (10, 9)], "a long, b long")
     got = {r.v: r.root for r in components(links, Scratch(spark, "t")).collect()}
