@@ -620,7 +620,7 @@ def _(s, d):
 
 @query("outer_ref_mean", f"WITH {REC}, f AS (SELECT CAST(c_custkey AS VARCHAR) AS matrix, CAST(c_nationkey + 1 AS DOUBLE) AS ref FROM customer WHERE c_custkey % 3 = 0) SELECT method, ROUND(avg(ref / time), 6) AS mean_ratio, COUNT(*) AS n FROM r FULL JOIN f ON r.matrix = f.matrix GROUP BY 1")
 def _(s, d):
-    ref = fx.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("matrix"), (F.col("c_nationkey") + 1).cast("double").alias("ref"))
+    ref = fx.customers(s, d).select(F.col("c_custkey").cast("string").alias("matrix"), (F.col("c_nationkey") + 1).cast("double").alias("ref"))
     return analytics.against_reference(fx.records(s, d), ref).select("method", F.round("mean_ratio", 6).alias("mean_ratio"), "n")
 
 
@@ -662,3 +662,20 @@ def _(s, d):
     path = f"{folder}/mtx-{uuid.uuid4().hex}"
     matrix_market.write_matrix(_f1(s, d), path)
     return matrix_market.read_matrix(s, path).coo()
+
+
+# ---------------------------------------------------------------- the same over whole tables
+# The queries above that work on a part of lineitem or customer (as their SQL does), again over every row, as NAME_whole.
+def _over_whole_tables(f):
+    def run(s, d):
+        with fx.whole_tables():
+            return f(s, d)
+
+    return run
+
+
+for _name, _sql in list(SQL.items()):
+    if fx.whole_sql(_sql) != _sql:
+        query(f"{_name}_whole", fx.whole_sql(_sql))(_over_whole_tables(QUERIES[_name]))
+for _name in ("equality_check", "bfs_check"):
+    query(f"{_name}_whole", SQL[_name])(_over_whole_tables(QUERIES[_name]))

@@ -240,3 +240,15 @@ def test_analytics(spark, tmp_path):
     assert analytics.load_results(spark, str(tmp_path / "1.json"), str(tmp_path / "2.json")).count() == 2
     b = analytics.batch(spark.range(10), 3, "id")
     assert [x.batch for x in b.orderBy("id").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_whole_tables(spark):
+    from arrayloom import queries as core
+
+    data = "/root/testdata/sf0.001"
+    total = spark.read.parquet(f"{data}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+    assert core.QUERIES["tensor_sum_whole"](spark, data).first()[0] == float(total)
+    assert core.QUERIES["tensor_sum"](spark, data).first()[0] < float(total)
+    names = {n.removesuffix("_whole") for n in core.QUERIES if n.endswith("_whole")}
+    assert {"mm", "spgemm_outer", "kron", "triangle_count", "bfs_levels", "sssp_dist", "outer_ref_mean", "mtx_roundtrip"} <= names
+    assert not any("l_quantity <=" in core.SQL[f"{n}_whole"] for n in names)
