@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, read_table, text_or_empty
+from .common import WHITE, Scratch, numbered, own_columns, read_table, row_per_id, text_or_empty
 
 SALTS = 16
 _TOP, _STEP = 9223372036854775807, 18446744073709551616
@@ -67,7 +67,13 @@ def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
+    """The rows that stay, one of each group of equal texts, with their own columns; rows with a doc_id come first."""
+    if not row_per_id(docs):
+        rows = numbered(docs, Scratch(docs.sparkSession, "drop-copies"))
+        groups = find_copies(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "keep_id")
+        order = F.struct(F.col("doc_id").isNull(), -F.length(text_or_empty()), "doc_id", "row")
+        kept = rows.select("row", order.alias("order")).join(groups, "row").groupBy("keep_id").agg(F.min("order").alias("first")).select("first.row")
+        return own_columns(rows.join(kept, "row", "left_semi"), docs)
     kept = find_copies(docs).where("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
 

@@ -71,6 +71,14 @@ def test_exact_dedup_columns_and_empty(spark, awkward):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.find_copies(null_ids).collect()} == {(None, 7, 2), (7, 7, 2), (None, None, 1)}
 
 
+def test_drop_copies_of_repeated_and_null_ids(spark):
+    docs = table(spark, ["a", "a", "b", "a b", "b", "b", "c", "c", None, ""], [1, 1, 2, 1, 7, None, None, None, None, None])
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    found = sorted((re.sub(r"\s", "", r.text or ""), str(r.doc_id)) for r in kept.collect())
+    assert found == [("", "None"), ("a", "1"), ("ab", "1"), ("b", "2"), ("c", "None")]
+
+
 # ---------------------------------------------------------------- suffix dedup
 def brute_spans(texts, least):
     data = {i: (t or "").encode() for i, t in texts.items()}
