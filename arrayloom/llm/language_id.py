@@ -198,8 +198,21 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; trained on their own labels. A document without a letter is rejected."""
+    """The documents whose language is known; trained on their own labels. A document without a letter is rejected.
+
+    Without a label to learn from, all documents with a letter stay.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        at = docs.columns.index("text")
+
+        def lettered(batches):
+            for pdf in batches:
+                yield pdf[[len(trigrams(t)[0]) > 0 for t in pdf["_text_in"]]].drop(columns="_text_in")
+
+        inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        found = inner.withColumn("_text_in", F.col(f"c{at}").cast("string")).mapInPandas(lettered, inner.schema)
+        return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     found = identify(inner, model, inner.columns, f"c{docs.columns.index('text')}").where(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

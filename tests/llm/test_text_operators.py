@@ -289,6 +289,13 @@ def test_language_awkward(spark, awkward):
     assert {r.lang_pred for r in language_id.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_without_labels(spark, awkward):
+    docs, texts = awkward
+    kept = language_id.accepted(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+
+
 # ---------------------------------------------------------------- toxicity and mixing
 @pytest.fixture(scope="module")
 def labelled(spark):
