@@ -375,7 +375,7 @@ def _source(e) -> int:
 @query("bfs_levels", f"{_BFS} SELECT v, level FROM l")
 def _(s, d):
     e = cut(fx.graph(s, d))
-    return graph.bfs(e, _source(e), most=12).select("v", "level")
+    return graph.bfs(e, _source(e)).select("v", "level")
 
 
 _PARENT = f"{_BFS} SELECT l.v AS v, COALESCE(MIN(CASE WHEN u.level = l.level - 1 THEN u.v END), l.v) AS parent FROM l JOIN g ON g.dst = l.v JOIN l u ON u.v = g.src GROUP BY l.v"
@@ -384,13 +384,13 @@ _PARENT = f"{_BFS} SELECT l.v AS v, COALESCE(MIN(CASE WHEN u.level = l.level - 1
 @query("bfs_parents", _PARENT)
 def _(s, d):
     e = cut(fx.graph(s, d))
-    return graph.bfs(e, _source(e), most=12).select("v", "parent")
+    return graph.bfs(e, _source(e)).select("v", "parent")
 
 
 @query("bfs_push_only", _PARENT)
 def _(s, d):
     e = cut(fx.graph(s, d))
-    return graph.bfs(e, _source(e), alpha=2, vertices=1, most=12).select("v", "parent")
+    return graph.bfs(e, _source(e), alpha=2, vertices=1).select("v", "parent")
 
 
 @query("bfs_check", "SELECT CAST(0 AS BIGINT) AS bad")

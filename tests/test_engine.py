@@ -252,3 +252,11 @@ def test_whole_tables(spark):
     names = {n.removesuffix("_whole") for n in core.QUERIES if n.endswith("_whole")}
     assert {"mm", "spgemm_outer", "kron", "triangle_count", "bfs_levels", "sssp_dist", "outer_ref_mean", "mtx_roundtrip"} <= names
     assert not any("l_quantity <=" in core.SQL[f"{n}_whole"] for n in names)
+
+
+def test_bfs_query_is_not_capped(spark, tmp_path):
+    from arrayloom import queries as core
+
+    rows = [(1, k, k, 5.0) for k in range(1, 19)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert core.QUERIES["bfs_levels"](spark, str(tmp_path)).agg(F.max("level")).first()[0] == 17
