@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.numeric import geometric_mean
 
 
-def load_results(spark: SparkSession, *paths: str) -> DataFrame:
-    """JSON arrays of records, one after another; records that were nested in lists count too."""
-    return spark.read.option("multiLine", True).json(list(paths))
+def load_results(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """JSON arrays of records, one after another (records that were nested in lists count too), or one record a line."""
+    return spark.read.option("multiLine", not lines).json(list(paths))
 
 
 def save_results(records: DataFrame, path: str) -> None:
+    """A folder of files with one record a line, written in parallel."""
     records.write.mode("overwrite").json(path)
 
 

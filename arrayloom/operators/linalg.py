@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.einsum import einsum
+from ..plans.lineage import cut
 from ..tensor import SparseTensor
 from .encodings import decode, encode
 
@@ -23,38 +24,69 @@ def spmv(a: SparseTensor, x: SparseTensor, encoding: str = "coo", row_major: boo
         rows = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda r: F.aggregate(F.zip_with(F.slice("val", r * block + 1, block), F.col("xs"), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z))
         each = e.join(chunks, "bj").select("bi", F.posexplode(rows).alias("k", "y"))
         return SparseTensor(each.groupBy((F.col("bi") * block + F.col("k")).alias("i")).agg(F.sum("y").alias("v")), ("i",), n)
-    if encoding == "csc" or row_major:
-        # rows of the transpose: one dot product for each stored fibre
-        t = encode(a.transpose() if row_major else a, "csc")
-        if row_major:
-            t = t.select(F.col("j").alias("i"), F.explode(F.arrays_zip("idx", "val")).alias("e")).select("i", F.col("e.idx").alias("j"), F.col("e.val").alias("v"))
-            return SparseTensor(t.join(vec, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("xv")).alias("v")), ("i",), n)
-        scaled = t.join(vec, "j").select(F.explode(F.arrays_zip("idx", "val")).alias("e"), "xv")
-        return SparseTensor(scaled.groupBy(F.col("e.idx").alias("i")).agg(F.sum(F.col("e.val") * F.col("xv")).alias("v")), ("i",), n)
-    entries = a if encoding == "coo" else decode(encode(a, encoding, block), encoding, a.shape, block)
-    products = entries.df.select(F.col(entries.axes[0]).alias("i"), F.col(entries.axes[1]).alias("j"), "v").join(vec, "j")
-    if encoding == "point":  # at most one entry in a column: still several may share a row
-        products = products.select("i", (F.col("v") * F.col("xv")).alias("v"))
-        return SparseTensor(products.groupBy("i").agg(F.sum("v").alias("v")), ("i",), n)
-    return SparseTensor(products.groupBy("i").agg(F.sum(F.col("v") * F.col("xv")).alias("v")), ("i",), n)
-
-
-def spmv_symmetric(upper: SparseTensor, diagonal: SparseTensor, x: SparseTensor) -> SparseTensor:
-    """y = (U + U' + D) x from the stored triangle: half of the matrix is read, each entry contributes twice."""
+    if row_major:  # fibres of the transpose: each belongs to one row of the result
+        t = decode(encode(a.transpose(), encoding, block), encoding, None, block).df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+        return SparseTensor(t.join(vec, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("xv")).alias("v")), ("i",), n)
+    if encoding in ("csr", "dcsr", "dense", "pattern"):
+        products = decode(encode(a, encoding), encoding).df.join(vec, "j").select("i", (F.col("v") * F.col("xv")).alias("v"))
+    else:
+        products = scaled(encode(a, encoding) if encoding != "coo" else a.rename("i", "j").df, encoding, vec)
+    return SparseTensor(products.groupBy("i").agg(F.sum("v").alias("v")), ("i",), n)
+
+
+def scaled(fibres: DataFrame, encoding: str, vec: DataFrame) -> DataFrame:
+    """(i, v): the entries of encoded columns times x(j). A fibre meets its x value once, before it is unrolled."""
+    rows = fibres.join(vec, "j")
+    if encoding in ("coo", "point"):
+        return rows.select("i", (F.col("v") * F.col("xv")).alias("v"))
+    if encoding == "point_pattern":
+        return rows.select("i", F.col("xv").alias("v"))
+    if encoding == "csc":
+        return rows.select(F.explode(F.arrays_zip("idx", "val")).alias("e"), "xv").select(F.col("e.idx").alias("i"), (F.col("e.val") * F.col("xv")).alias("v"))
+    if encoding == "vbl_pattern":
+        return rows.select(F.explode(F.sequence("i_start", F.col("i_start") + F.col("n") - 1)).alias("i"), F.col("xv").alias("v"))
+    if encoding in ("vbl", "band"):
+        start = F.col("i_start" if encoding == "vbl" else "i_lo")
+        each = rows.select(start.alias("s"), F.posexplode("val").alias("k", "w"), "xv")
+        return (each.where("w <> 0") if encoding == "band" else each).select((F.col("s") + F.col("k")).alias("i"), (F.col("w") * F.col("xv")).alias("v"))
+    raise ValueError(f"no such encoding: {encoding}")
+
+
+def spmv_symmetric(upper: SparseTensor, diagonal: SparseTensor, x: SparseTensor, encoding: str = "coo") -> SparseTensor:
+    """y = (U + U' + D) x from the stored triangle: half of the matrix is read, each entry contributes twice.
+
+    Encoded columns meet x(j) as wholes for y(i) += U(i, j) x(j), and are unrolled to meet x(i) for y(j) += U(i, j) x(i).
+    """
     i, j = upper.axes
     vec = x.df.select(F.col(x.axes[0]).alias("k"), F.col("v").alias("xv"))
     d = diagonal.df.select(F.col(diagonal.axes[0]).alias("o"), F.col(diagonal.axes[0]).alias("k"), "v")
+    if encoding != "coo":
+        fibres = encode(upper, encoding)
+        down = scaled(fibres, encoding, vec.withColumnRenamed("k", "j")).select(F.col("i").alias("o"), "v")
+        back = decode(fibres, encoding).df.select(F.col("j").alias("o"), F.col("i").alias("k"), "v").unionByName(d)
+        back = back.join(vec, "k").select("o", (F.col("v") * F.col("xv")).alias("v"))
+        return SparseTensor(down.unionByName(back).groupBy(F.col("o").alias("i")).agg(F.sum("v").alias("v")), ("i",), x.shape)
     twice = F.explode(F.array(F.struct(F.col(i).alias("o"), F.col(j).alias("k")), F.struct(F.col(j).alias("o"), F.col(i).alias("k"))))
     parts = upper.df.select(twice.alias("e"), "v").select("e.o", "e.k", "v").unionByName(d)
     return SparseTensor(parts.join(vec, "k").groupBy(F.col("o").alias("i")).agg(F.sum(F.col("v") * F.col("xv")).alias("v")), ("i",), x.shape)
 
 
+PIECE = 32  #: contracted indices in a piece of a fibre
+
+
+def _pieces(fibres: DataFrame, outer: str) -> DataFrame:
+    """(outer, piece, val): a fibre's entries by ranges of PIECE indices; val has a place for each index, null where nothing is stored."""
+    places = [F.max(F.when(F.col("k") % PIECE == p, F.col("v").cast("double"))) for p in range(PIECE)]
+    return fibres.groupBy(outer, F.floor(F.col("k") / PIECE).alias("piece")).agg(F.array(*places).alias("val"))
+
+
 def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTensor:
     """C = A B.
 
     outer      join on the contracted index, aggregate partial products (map-side combined): the natural plan
     gustavson  B as sorted rows; an entry of A meets a whole row of B
-    inner      rows of A and columns of B as sorted arrays; a map lookup for each pair that shares an index
+    inner      rows of A and columns of B in pieces of `PIECE` contracted indices; pieces with the same range are intersected
+               entry by entry, and a pair's partial dot products are summed
     """
     if a.shape and b.shape and a.shape[1] != b.shape[0]:
         raise ValueError("dimensions differ")
@@ -69,12 +101,12 @@ def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTen
         products = left.df.join(rows, "k").select("i", "v", F.explode("row").alias("e")).select("i", F.col("e.j").alias("j"), (F.col("v") * F.col("e.w")).alias("v"))
         return SparseTensor(products.groupBy("i", "j").agg(F.sum("v").alias("v")), ("i", "j"), shape)
     if method == "inner":
-        pairs = left.df.select("i", "k").join(right.df.select("k", "j"), "k").select("i", "j").distinct()
-        rows = left.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ra"))
-        cols = right.df.groupBy("j").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("cb"))
-        shared = F.array_intersect(F.map_keys("ra"), F.map_keys("cb"))
-        dot = F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.element_at("ra", k) * F.element_at("cb", k))
-        return SparseTensor(pairs.join(rows, "i").join(cols, "j").select("i", "j", dot.alias("v")), ("i", "j"), shape)
+        rows = _pieces(left.df.select("i", "k", "v"), "i").withColumnRenamed("val", "ra")
+        cols = _pieces(right.df.select("k", "j", "v"), "j").withColumnRenamed("val", "cb")
+        shared = F.filter(F.zip_with("ra", "cb", lambda x, y: x * y), lambda z: z.isNotNull())
+        parts = rows.join(cols, "piece").select("i", "j", shared.alias("z")).where(F.size("z") > 0)
+        dot = F.aggregate("z", F.lit(0.0), lambda s, z: s + z)
+        return SparseTensor(parts.groupBy("i", "j").agg(F.sum(dot).alias("v")), ("i", "j"), shape)
     raise ValueError(f"no such method: {method}")
 
 
@@ -92,15 +124,31 @@ def triangle_count(a: SparseTensor, b: SparseTensor | None = None, c: SparseTens
     return einsum("ij,jk,ik->", a, b, c).df
 
 
+def oriented(a: SparseTensor) -> DataFrame:
+    """(i, j, v): each edge of a symmetric matrix without loops once, from the end with fewer neighbours."""
+    e = a.rename("i", "j").df
+    degree = e.groupBy(F.col("i").alias("u")).agg(F.count(F.lit(1)).alias("d"))
+    ends = e.join(degree.select(F.col("u").alias("i"), F.col("d").alias("di")), "i").join(degree.select(F.col("u").alias("j"), F.col("d").alias("dj")), "j")
+    return ends.where(F.struct("di", "i") < F.struct("dj", "j")).select("i", "j", "v")
+
+
+def triangle_intersect(a: SparseTensor) -> DataFrame:
+    """n: how many ordered triangles a symmetric matrix without loops has, by intersecting the neighbour lists of each edge's ends.
+
+    Lists hold the better connected neighbours only, so that of m edges no list is longer than sqrt(2 m), hubs' included.
+    """
+    e = cut(oriented(a).select("i", "j"))
+    near = e.groupBy("i").agg(F.collect_list("j").alias("near"))
+    both = e.join(near, "i").join(near.select(F.col("i").alias("j"), F.col("near").alias("far")), "j")
+    return both.agg((F.coalesce(F.sum(F.size(F.array_intersect("near", "far"))), F.lit(0)) * 6).cast("long").alias("n"))
+
+
 def triangle_count_oriented(a: SparseTensor) -> DataFrame:
     """The same for a symmetric matrix without loops: each triangle once, edges from the end with fewer neighbours, times 6.
 
     Wedges start at the less connected vertex, so a hub doesn't square its neighbours.
     """
-    e = a.rename("i", "j").df
-    degree = e.groupBy(F.col("i").alias("u")).agg(F.count(F.lit(1)).alias("d"))
-    ends = e.join(degree.select(F.col("u").alias("i"), F.col("d").alias("di")), "i").join(degree.select(F.col("u").alias("j"), F.col("d").alias("dj")), "j")
-    out = ends.where(F.struct("di", "i") < F.struct("dj", "j")).select("i", "j", "v")
+    out = cut(oriented(a))
     first, second = out.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("v").alias("v1")), out.select(F.col("i").alias("a"), F.col("j").alias("c"), F.col("v").alias("v2"))
     third = out.select(F.col("i").alias("b"), F.col("j").alias("c"), F.col("v").alias("v3"))
     wedge = first.join(second, "a").where("b <> c")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
 from ..plans.lineage import cut
+from .graph import components
 
 BITS = 32  #: pixels in a word
 
@@ -149,8 +150,28 @@ def sobel(img: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- flood fill
-def flood_fill(img: DataFrame, seed: tuple[int, int], steps: int = 4) -> DataFrame:
-    """(y, x) of the set pixels joined to the seed by edges; the frontier grows by `steps` pixels between checkpoints."""
+def flood_fill(img: DataFrame, seed: tuple[int, int], method: str = "runs", steps: int = 4) -> DataFrame:
+    """(y, x) of the set pixels joined to the seed by edges.
+
+    runs      runs of set pixels that touch in neighbouring rows are joined; the seed's component, in a logarithmic number of rounds
+    frontier  the frontier grows by `steps` pixels between checkpoints: as many rounds as the fill is long
+    """
+    if method == "frontier":
+        return _fill_frontier(img, seed, steps)
+    if method != "runs":
+        raise ValueError(f"no such method: {method}")
+    runs = rle_encode(img.select("y", "x", (F.col("p") != 0).cast("int").alias("p")), fill=0)
+    runs = cut(runs.select("y", "x0", "x1", F.monotonically_increasing_id().alias("run")))
+    above = runs.select((F.col("y") + 1).alias("y"), F.col("x0").alias("o0"), F.col("x1").alias("o1"), F.col("run").alias("b"))
+    touch = runs.join(above, "y").where("o0 <= x1 and x0 <= o1").select(F.col("run").alias("a"), "b")
+    comp = cut(components(touch.unionAll(runs.select(F.col("run").alias("a"), F.col("run").alias("b")))))
+    y, x = seed
+    first = runs.where((F.col("y") == y) & (F.col("x0") <= x) & (F.col("x1") >= x)).join(comp, runs["run"] == comp["v"]).select("root")
+    inside = comp.join(first, "root", "left_semi").select(F.col("v").alias("run"))
+    return rle_decode(runs.join(inside, "run", "left_semi").select("y", "x0", "x1", F.lit(1).alias("p"))).select("y", "x")
+
+
+def _fill_frontier(img: DataFrame, seed: tuple[int, int], steps: int) -> DataFrame:
     spark = img.sparkSession
     free = img.where("p <> 0").select("y", "x").persist()
     try:
@@ -206,6 +227,27 @@ def magnify(img: DataFrame, k: int) -> DataFrame:
     return df.select((F.col("y") * k + F.col("_a")).alias("y"), (F.col("x") * k + F.col("_b")).alias("x"), "p")
 
 
+def magnify_cubic(img: DataFrame, k: int, a: float = -0.75) -> DataFrame:
+    """Every pixel k x k times by bicubic convolution (coefficient a), borders repeated, rounded half to even and kept within 0..255.
+
+    Separable: along x, then along y. Each pixel is sent to the outputs whose four neighbours it is among, so nothing but a grouped sum moves.
+    """
+    top = img.agg(F.max("y").alias("_ym"), F.max("x").alias("_xm"))
+    out = img.select("y", "x", F.col("p").cast("double").alias("p")).crossJoin(F.broadcast(top))  # one row
+    for axis, last in (("x", "_xm"), ("y", "_ym")):
+        other = "y" if axis == "x" else "x"
+        # output o lies at (o + 1/2) / k - 1/2; neighbours floor - 1 .. floor + 2, those beyond the border count for the border's pixel
+        reach = F.sequence((F.col(axis) - 2) * k - k, (F.col(axis) + 3) * k)
+        rows = out.withColumn("_o", F.explode(reach)).where((F.col("_o") >= 0) & (F.col("_o") < (F.col(last) + 1) * k))
+        at = (F.col("_o") + 0.5) / k - 0.5
+        each = rows.withColumn("_f", F.floor(at)).withColumn("_n", F.explode(F.sequence(F.col("_f") - 1, F.col("_f") + 2)))
+        each = each.where(F.greatest(F.lit(0), F.least(F.col("_n"), F.col(last))) == F.col(axis))
+        d = F.abs(at - F.col("_n"))
+        w = F.when(d <= 1, (a + 2) * d * d * d - (a + 3) * d * d + 1).when(d < 2, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a).otherwise(0.0)
+        out = each.groupBy(F.col("_o").alias(axis), other, "_ym", "_xm").agg(F.sum(w * F.col("p")).alias("p"))
+    return out.select("y", "x", F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround(F.round("p", 6), 0))).cast("long").alias("p"))
+
+
 def sparse_masks(runs: DataFrame, pixels: DataFrame, most: float = 0.004) -> DataFrame:
     """Images (img, runs stored) whose runs are at most that share of their pixels (img, n)."""
     counts = runs.groupBy("img").agg(F.count(F.lit(1)).alias("n_runs"))

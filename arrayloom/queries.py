@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import geometric_mean, uniform_sql, wrap_int8
 from .operators import analytics, encodings, graph, linalg, raster
 from .plans.einsum import MIN_PLUS, OR_AND, einsum
-from .plans.lineage import cut
+from .plans.lineage import cut, shared_folder
 from .sources import fixtures as fx
 from .sources import generate, matrix_market
 from .tensor import SparseTensor, difference_norm, equal
@@ -15,7 +15,7 @@ from .tensor import SparseTensor, difference_norm, equal
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-F1 = fx.matrix_sql()
+F1 = fx.MATRIX_SQL
 G, X, IMG, REC = fx.GRAPH_SQL, fx.VECTOR_SQL, fx.IMAGE_SQL, fx.RECORDS_SQL
 
 
@@ -29,8 +29,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _f1(spark, d, most=10):
-    return fx.matrix(spark, d, most)
+def _f1(spark, d):
+    return fx.matrix(spark, d)
 
 
 # ---------------------------------------------------------------- tensor algebra
@@ -62,11 +62,7 @@ def _(s, d):
 
 @query("triangle_intersect", f"WITH {G} SELECT COUNT(*) AS n FROM g a JOIN g b ON a.dst = b.src JOIN g c ON a.src = c.src AND b.dst = c.dst")
 def _(s, d):
-    """Neighbour lists intersected for each edge."""
-    e = fx.graph(s, d).select("src", "dst")
-    near = e.groupBy("src").agg(F.collect_list("dst").alias("near"))
-    both = e.join(near, "src").join(near.select(F.col("src").alias("dst"), F.col("near").alias("far")), "dst")
-    return both.agg(F.coalesce(F.sum(F.size(F.array_intersect("near", "far"))), F.lit(0)).cast("long").alias("n"))
+    return linalg.triangle_intersect(fx.graph_tensor(s, d))
 
 
 @query("mm_sum", f"WITH {F1} SELECT CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM f1 a JOIN f1 b ON a.j = b.i")
@@ -81,24 +77,24 @@ def _(s, d):
     return einsum("ij,kj->", a, a).df
 
 
-MM = f"WITH {fx.matrix_sql(3)} SELECT a.i AS i, b.j AS j, CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2"
+MM = f"WITH {F1} SELECT a.i AS i, b.j AS j, CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2"
 
 
 @query("mm", MM)
 def _(s, d):
-    a = _f1(s, d, 3)
+    a = _f1(s, d)
     return einsum("ik,kj->ij", a, a).df
 
 
 @query("mm_checksum", f"SELECT CAST(SUM(v) AS DOUBLE) AS v, COUNT(*) AS n FROM ({MM})")
 def _(s, d):
-    a = _f1(s, d, 3)
+    a = _f1(s, d)
     return einsum("ik,kj->ij", a, a).df.agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
-@query("mm_abt", f"WITH {fx.matrix_sql(3)} SELECT a.i AS i, b.i AS k, CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM f1 a JOIN f1 b ON a.j = b.j GROUP BY 1, 2")
+@query("mm_abt", f"WITH {F1} SELECT a.i AS i, b.i AS k, CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM f1 a JOIN f1 b ON a.j = b.j GROUP BY 1, 2")
 def _(s, d):
-    a = _f1(s, d, 3)
+    a = _f1(s, d)
     return einsum("ij,kj->ik", a, a).df
 
 
@@ -106,19 +102,19 @@ for _method in ("inner", "gustavson", "outer"):
 
     @query(f"spgemm_{_method}", MM)
     def _(s, d, method=_method):
-        a = _f1(s, d, 3)
+        a = _f1(s, d)
         return linalg.spgemm(a, a, method).df
 
 
-@query("spgemm_min_plus", f"WITH {fx.matrix_sql(3)} SELECT a.i AS i, b.j AS j, MIN(a.v + b.v) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2")
+@query("spgemm_min_plus", f"WITH {F1} SELECT a.i AS i, b.j AS j, MIN(a.v + b.v) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2")
 def _(s, d):
-    a = _f1(s, d, 3)
+    a = _f1(s, d)
     return einsum("ik,kj->ij", a, a, semiring=MIN_PLUS).df
 
 
-@query("spgemm_or_and", f"WITH {fx.matrix_sql(3)} SELECT a.i AS i, b.j AS j, bool_or(a.v > 1 AND b.v > 1) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2")
+@query("spgemm_or_and", f"WITH {F1} SELECT a.i AS i, b.j AS j, bool_or(a.v > 1 AND b.v > 1) AS v FROM f1 a JOIN f1 b ON a.j = b.i GROUP BY 1, 2")
 def _(s, d):
-    a = _f1(s, d, 3).map(lambda v: v > 1)
+    a = _f1(s, d).map(lambda v: v > 1)
     return einsum("ik,kj->ij", a, a, semiring=OR_AND).df
 
 
@@ -178,7 +174,7 @@ def _(s, d):
 # ---------------------------------------------------------------- SpMV
 Y = f"WITH {F1}, {X} SELECT f1.i AS i, CAST(SUM(f1.v * x.v) AS DOUBLE) AS v FROM f1 JOIN x ON f1.j = x.j GROUP BY 1"
 
-for _name, _enc, _row in (("spmv", "coo", False), ("spmv_csc", "csc", False), ("spmv_row_major", "coo", True), ("spmv_vbl", "vbl", False), ("spmv_band", "band", False), ("spmv_blocked", "blocked", False)):
+for _name, _enc, _row in (("spmv", "coo", False), ("spmv_csc", "csc", False), ("spmv_row_major", "coo", True), ("spmv_vbl", "vbl", False), ("spmv_band", "band", False), ("spmv_blocked", "blocked", False), ("spmv_csr", "csr", False), ("spmv_dcsr", "dcsr", False), ("spmv_vbl_row_major", "vbl", True), ("spmv_band_row_major", "band", True)):
 
     @query(_name, Y)
     def _(s, d, enc=_enc, row=_row):
@@ -191,9 +187,13 @@ def _(s, d):
     return linalg.spmv(_f1(s, d), fx.vector(s, d)).dense(500).coo()
 
 
-@query("spmv_pattern", f"WITH {F1}, {X} SELECT f1.i AS i, CAST(SUM(x.v) AS DOUBLE) AS v FROM f1 JOIN x ON f1.j = x.j GROUP BY 1")
-def _(s, d):
-    return linalg.spmv(_f1(s, d), fx.vector(s, d), "pattern").coo()
+_YP = f"WITH {F1}, {X} SELECT f1.i AS i, CAST(SUM(x.v) AS DOUBLE) AS v FROM f1 JOIN x ON f1.j = x.j GROUP BY 1"
+
+for _name, _enc, _row in (("spmv_pattern", "pattern", False), ("spmv_pattern_row_major", "pattern", True), ("spmv_vbl_pattern", "vbl_pattern", False)):
+
+    @query(_name, _YP)
+    def _(s, d, enc=_enc, row=_row):
+        return linalg.spmv(_f1(s, d), fx.vector(s, d), enc, row).coo()
 
 
 @query("spmv_int8", f"WITH {F1}, {X} SELECT f1.i AS i, CAST(SUM(((CAST(f1.v AS BIGINT) + 128) % 256 - 128) * x.v) AS DOUBLE) AS v FROM f1 JOIN x ON f1.j = x.j GROUP BY 1")
@@ -201,30 +201,54 @@ def _(s, d):
     return linalg.spmv(_f1(s, d).map(lambda v: wrap_int8(v).cast("double")), fx.vector(s, d)).coo()
 
 
-@query("spmv_sym", f"WITH {G} SELECT g.src AS i, CAST(SUM(g.w * (g.dst % 7 + 1)) AS DOUBLE) AS v FROM g GROUP BY 1")
+@query("spmv_vbl_int8", SQL["spmv_int8"])
 def _(s, d):
-    a = fx.graph_tensor(s, d)
-    x = SparseTensor(a.df.select("j").distinct().withColumn("v", (F.col("j") % 7 + 1).cast("double")), ("j",))
-    return linalg.spmv_symmetric(a.upper(), a.diagonal(), x).coo()
+    return linalg.spmv(_f1(s, d).map(lambda v: wrap_int8(v).cast("byte")), fx.vector(s, d), "vbl").coo()
 
 
-@query("spmv_sym_pattern", f"WITH {G} SELECT g.src AS i, CAST(SUM(g.dst % 7 + 1) AS DOUBLE) AS v FROM g GROUP BY 1")
-def _(s, d):
-    a = fx.graph_tensor(s, d).pattern()
+def _sym(s, d, encoding, values=lambda a: a):
+    a = values(fx.graph_tensor(s, d))
     x = SparseTensor(a.df.select("j").distinct().withColumn("v", (F.col("j") % 7 + 1).cast("double")), ("j",))
-    return linalg.spmv_symmetric(a.upper(), a.diagonal(), x).coo()
+    return linalg.spmv_symmetric(a.upper(), a.diagonal(), x, encoding).coo()
 
 
-@query("spmv_point", "SELECT 4999 - i AS i, CAST(i % 7 + 1 AS DOUBLE) AS v FROM (SELECT unnest(range(5000)) AS i)")
-def _(s, d):
-    x = SparseTensor(s.range(5000).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("v")), ("j",))
-    return linalg.spmv(generate.reverse_permutation(s, 5000), x, "point").coo()
+for _name, _enc in (("spmv_sym", "coo"), ("spmv_sym_vbl", "vbl"), ("spmv_sym_band", "band")):
 
+    @query(_name, f"WITH {G} SELECT g.src AS i, CAST(SUM(g.w * (g.dst % 7 + 1)) AS DOUBLE) AS v FROM g GROUP BY 1")
+    def _(s, d, enc=_enc):
+        return _sym(s, d, enc)
+
+
+for _name, _enc in (("spmv_sym_pattern", "coo"), ("spmv_sym_vbl_pattern", "vbl_pattern")):
+
+    @query(_name, f"WITH {G} SELECT g.src AS i, CAST(SUM(g.dst % 7 + 1) AS DOUBLE) AS v FROM g GROUP BY 1")
+    def _(s, d, enc=_enc):
+        return _sym(s, d, enc, lambda a: a.pattern())
 
-@query("spmv_band_toeplitz", "SELECT i, CAST(SUM((j - i + 1) * (j % 7 + 1)) AS DOUBLE) AS v FROM (SELECT i, unnest(range(greatest(i - 30, 0), least(i + 30, 1999) + 1)) AS j FROM (SELECT unnest(range(2000)) AS i)) GROUP BY 1")
-def _(s, d):
-    x = SparseTensor(s.range(2000).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("v")), ("j",))
-    return linalg.spmv(generate.banded(s, 2000, 30), x, "band").coo()
+
+for _name, _enc in (("spmv_sym_int8", "coo"), ("spmv_sym_vbl_int8", "vbl")):
+
+    @query(_name, f"WITH {G} SELECT g.src AS i, CAST(SUM(((CAST(g.w * 37 AS BIGINT) + 128) % 256 - 128) * (g.dst % 7 + 1)) AS DOUBLE) AS v FROM g GROUP BY 1")
+    def _(s, d, enc=_enc):
+        return _sym(s, d, enc, lambda a: a.map(lambda v: wrap_int8(v * 37).cast("byte")))
+
+
+def _ramp(s, n):
+    return SparseTensor(s.range(n).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("v")), ("j",))
+
+
+for _name, _enc, _row in (("spmv_point", "point", False), ("spmv_point_row_major", "point", True), ("spmv_point_pattern", "point_pattern", False), ("spmv_point_pattern_row_major", "point_pattern", True)):
+
+    @query(_name, "SELECT 199999 - i AS i, CAST(i % 7 + 1 AS DOUBLE) AS v FROM (SELECT unnest(range(200000)) AS i)")
+    def _(s, d, enc=_enc, row=_row):
+        return linalg.spmv(generate.reverse_permutation(s, 200_000), _ramp(s, 200_000), enc, row).coo()
+
+
+for _b in (5, 30, 100):
+
+    @query(f"spmv_band_toeplitz_{_b}", f"SELECT i, CAST(SUM((j - i + 1) * (j % 7 + 1)) AS DOUBLE) AS v FROM (SELECT i, unnest(range(greatest(i - {_b}, 0), least(i + {_b}, 9999) + 1)) AS j FROM (SELECT unnest(range(10000)) AS i)) GROUP BY 1")
+    def _(s, d, b=_b):
+        return linalg.spmv(generate.banded(s, 10_000, b), _ramp(s, 10_000), "band").coo()
 
 
 # ---------------------------------------------------------------- structure
@@ -277,16 +301,26 @@ def _(s, d):
     return difference_norm(a, b).select(F.round("rel_norm", 9).alias("rel_norm"))
 
 
-@query("equality_check", "SELECT true AS equal")
+@query("equality_check", f"""WITH {F1}, b AS (SELECT 'same' AS kind, i, j, v FROM f1 UNION ALL SELECT 'one off', i, j, CASE WHEN j = (SELECT MIN(j) FROM f1) AND i = (SELECT MAX(i) FROM f1 WHERE j = (SELECT MIN(j) FROM f1)) THEN v + 1 ELSE v END FROM f1
+  UNION ALL SELECT 'one missing', i, j, v FROM f1 WHERE i <> (SELECT MIN(i) FROM f1)), k AS (SELECT DISTINCT kind FROM b)
+ SELECT k.kind AS kind, NOT EXISTS (SELECT * FROM f1 WHERE NOT EXISTS (SELECT * FROM b WHERE b.kind = k.kind AND b.i = f1.i AND b.j = f1.j AND b.v = f1.v)) AS equal FROM k""")
 def _(s, d):
     a = _f1(s, d)
-    return equal(a, encodings.decode(encodings.encode(a, "vbl"), "vbl"))
+    back = encodings.decode(encodings.encode(a, "vbl"), "vbl")
+    first = a.df.agg(F.min("j").alias("fj"))
+    corner = a.df.join(F.broadcast(first), F.col("j") == F.col("fj")).agg(F.max("i").alias("ci"), F.min("j").alias("cj"))  # one row
+    off = back.df.crossJoin(F.broadcast(corner)).select("i", "j", F.when((F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj")), F.col("v") + 1).otherwise(F.col("v")).alias("v"))
+    least = a.df.agg(F.min("i").alias("mi"))
+    missing = back.df.crossJoin(F.broadcast(least)).where("i <> mi").select("i", "j", "v")
+    kinds = {"same": back.df, "one off": off, "one missing": missing}
+    parts = [equal(a, SparseTensor(df, a.axes)).select(F.lit(k).alias("kind"), "equal") for k, df in kinds.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 for _fmt in encodings.FORMATS:
-    if _fmt != "point":
+    if not _fmt.startswith("point"):
 
-        @query(f"roundtrip_{_fmt}", f"WITH {F1} SELECT i, j, CAST({'1' if _fmt == 'pattern' else 'v'} AS DOUBLE) AS v FROM f1")
+        @query(f"roundtrip_{_fmt}", f"WITH {F1} SELECT i, j, CAST({'1' if _fmt in encodings.PATTERNS else 'v'} AS DOUBLE) AS v FROM f1")
         def _(s, d, fmt=_fmt):
             return encodings.decode(encodings.encode(_f1(s, d), fmt), fmt).coo()
 
@@ -319,14 +353,16 @@ def _(s, d):
 
 
 # ---------------------------------------------------------------- generators
-@query("banded", "SELECT i, j, CAST(j - i + 1 AS DOUBLE) AS v FROM (SELECT i, unnest(range(greatest(i - 5, 0), least(i + 5, 999) + 1)) AS j FROM (SELECT unnest(range(1000)) AS i)) WHERE j - i + 1 <> 0")
-def _(s, d):
-    return generate.banded(s, 1000, 5).coo()
+for _b in (5, 30, 100):
 
+    @query(f"banded_{_b}", f"SELECT i, j, CAST(j - i + 1 AS DOUBLE) AS v FROM (SELECT i, unnest(range(greatest(i - {_b}, 0), least(i + {_b}, 9999) + 1)) AS j FROM (SELECT unnest(range(10000)) AS i)) WHERE j - i + 1 <> 0")
+    def _(s, d, b=_b):
+        return generate.banded(s, 10_000, b).coo()
 
-@query("upper_triangle", f"SELECT i, j, {uniform_sql('i', 'j')} AS v FROM (SELECT i, unnest(range(i, 128)) AS j FROM (SELECT unnest(range(128)) AS i))")
+
+@query("upper_triangle", f"SELECT i, j, {uniform_sql('i', 'j')} AS v FROM (SELECT i, unnest(range(i, 1024)) AS j FROM (SELECT unnest(range(1024)) AS i))")
 def _(s, d):
-    return generate.upper_triangle(s, 128).coo()
+    return generate.upper_triangle(s, 1024).coo()
 
 
 @query("random_sparse", f"SELECT i, j, CAST(1 AS DOUBLE) AS v FROM (SELECT i, unnest(range(200)) AS j FROM (SELECT unnest(range(300)) AS i)) WHERE {uniform_sql('i', 'j', seed=3)} < 0.05")
@@ -339,19 +375,19 @@ def _(s, d):
     return generate.random_dense(s, 60, 40, seed=4).coo()
 
 
-@query("permutation", f"SELECT row_number() OVER (ORDER BY {uniform_sql('j', seed=5)}, j) - 1 AS i, j, CAST(1 AS DOUBLE) AS v FROM (SELECT unnest(range(3000)) AS j)")
+@query("permutation", f"SELECT row_number() OVER (ORDER BY {uniform_sql('j', seed=5)}, j) - 1 AS i, j, CAST(1 AS DOUBLE) AS v FROM (SELECT unnest(range(200000)) AS j)")
 def _(s, d):
-    return generate.permutation(s, 3000, seed=5).coo()
+    return generate.permutation(s, 200_000, seed=5).coo()
 
 
-@query("reverse_permutation", "SELECT i, 1999 - i AS j, CAST(1 AS DOUBLE) AS v FROM (SELECT unnest(range(2000)) AS i)")
+@query("reverse_permutation", "SELECT i, 199999 - i AS j, CAST(1 AS DOUBLE) AS v FROM (SELECT unnest(range(200000)) AS i)")
 def _(s, d):
-    return generate.reverse_permutation(s, 2000).coo()
+    return generate.reverse_permutation(s, 200_000).coo()
 
 
-@query("kron", f"WITH {fx.matrix_sql(2)} SELECT i * 3 + p AS i, j * 3 + q AS j, CAST(v AS DOUBLE) AS v FROM f1, (SELECT unnest(range(3)) AS p), (SELECT unnest(range(3)) AS q)")
+@query("kron", f"WITH {F1} SELECT i * 3 + p AS i, j * 3 + q AS j, CAST(v AS DOUBLE) AS v FROM f1, (SELECT unnest(range(3)) AS p), (SELECT unnest(range(3)) AS q)")
 def _(s, d):
-    return generate.kron_ones(_f1(s, d, 2), 3).coo()
+    return generate.kron_ones(_f1(s, d), 3).coo()
 
 
 DISC = "SELECT y, x, CAST((y - n / 2.0) * (y - n / 2.0) + (x - n / 2.0) * (x - n / 2.0) < (n / 4.0) * (n / 4.0) AS BIGINT) AS p FROM (SELECT y, unnest(range({n})) AS x, {n} AS n FROM (SELECT unnest(range({n})) AS y))"
@@ -364,8 +400,8 @@ def _(s, d):
 
 # ---------------------------------------------------------------- graph
 _BFS = f"""WITH RECURSIVE {G}, s0 AS (SELECT MIN(src) AS v FROM g),
- b(v, level) AS (SELECT v, 0 FROM s0 UNION SELECT g.dst, b.level + 1 FROM b JOIN g ON g.src = b.v WHERE b.level < 12),
- l AS (SELECT v, MIN(level) AS level FROM b GROUP BY 1)"""
+ l(v, level) USING KEY (v) AS (SELECT v, 0 FROM s0
+  UNION SELECT n.v, n.level FROM (SELECT g.dst AS v, MIN(l.level) + 1 AS level FROM l JOIN g ON g.src = l.v GROUP BY 1) n LEFT JOIN recurring.l r ON r.v = n.v WHERE r.v IS NULL)"""
 
 
 def _source(e) -> int:
@@ -393,10 +429,17 @@ def _(s, d):
     return graph.bfs(e, _source(e), alpha=2, vertices=1).select("v", "parent")
 
 
-@query("bfs_check", "SELECT CAST(0 AS BIGINT) AS bad")
+@query("bfs_check", f"""{_BFS}, up AS (SELECT l.v AS v, l.level AS level, COALESCE(MIN(CASE WHEN u.level = l.level - 1 THEN u.v END), l.v) AS parent FROM l JOIN g ON g.dst = l.v JOIN l u ON u.v = g.src GROUP BY l.v, l.level),
+ c AS (SELECT 'tree' AS kind, v, level, parent FROM up UNION ALL SELECT 'damaged', v, level, CASE WHEN v % 5 = 0 THEN v ELSE parent END FROM up),
+ e AS (SELECT DISTINCT src, dst FROM g)
+ SELECT c.kind AS kind, COUNT(*) FILTER (WHERE c.level > 0 AND (u.level IS NULL OR u.level <> c.level - 1 OR e.src IS NULL)) AS bad
+ FROM c LEFT JOIN l u ON u.v = c.parent LEFT JOIN e ON e.src = c.parent AND e.dst = c.v GROUP BY 1""")
 def _(s, d):
     e = cut(fx.graph(s, d))
-    return graph.bfs_check(e, graph.bfs(e, _source(e)))
+    tree = graph.bfs(e, _source(e))
+    damaged = tree.withColumn("parent", F.when(F.col("v") % 5 == 0, F.col("v")).otherwise(F.col("parent")))
+    check = lambda kind, t: graph.bfs_check(e, t).select(F.lit(kind).alias("kind"), "bad")
+    return check("tree", tree).unionAll(check("damaged", damaged))
 
 
 _DIST = f"""WITH RECURSIVE {G}, s0 AS (SELECT MIN(src) AS v FROM g),
@@ -417,6 +460,30 @@ def _(s, d):
     return graph.sssp_parents(e, graph.sssp(e, source), source)
 
 
+@query("sssp_check", f"""{_DIST}, q AS (SELECT g.dst AS v, MIN(g.src) AS parent FROM g JOIN t a ON a.v = g.src JOIN t b ON b.v = g.dst WHERE a.dist + g.w <= b.dist AND g.dst <> (SELECT v FROM s0) GROUP BY 1),
+ up AS (SELECT t.v AS v, t.dist AS dist, q.parent AS parent FROM t LEFT JOIN q ON q.v = t.v),
+ c AS (SELECT 'right' AS kind, v, dist, parent FROM up UNION ALL SELECT 'damaged', v, CASE WHEN v % 7 = 0 THEN dist + 1 ELSE dist END, CASE WHEN v % 5 = 0 AND parent IS NOT NULL THEN v ELSE parent END FROM up)
+ SELECT c.kind AS kind, COUNT(*) FILTER (WHERE c.dist <> t.dist) AS wrong, COUNT(*) FILTER (WHERE c.parent IS NOT NULL AND (g.w IS NULL OR u.dist + g.w <> t.dist)) AS loose
+ FROM c JOIN t ON t.v = c.v LEFT JOIN t u ON u.v = c.parent LEFT JOIN g ON g.src = c.parent AND g.dst = c.v GROUP BY 1""")
+def _(s, d):
+    e = cut(fx.graph(s, d))
+    source = _source(e)
+    dist = cut(graph.sssp(e, source))
+    found = cut(graph.sssp_parents(e, dist, source))
+    damaged = found.select("v", F.when(F.col("v") % 7 == 0, F.col("dist") + 1).otherwise(F.col("dist")).alias("dist"), F.when((F.col("v") % 5 == 0) & F.col("parent").isNotNull(), F.col("v")).otherwise(F.col("parent")).alias("parent"))
+    check = lambda kind, t: graph.sssp_check(e, t, dist).select(F.lit(kind).alias("kind"), "wrong", "loose")
+    return check("right", found).unionAll(check("damaged", damaged))
+
+
+@query("components", f"""WITH RECURSIVE {G}, few AS (SELECT src AS a, dst AS b FROM g WHERE w >= 25),
+ c(v, root) USING KEY (v) AS (SELECT a, a FROM few
+  UNION SELECT n.v, n.root FROM (SELECT few.b AS v, MIN(c.root) AS root FROM c JOIN few ON few.a = c.v GROUP BY 1) n JOIN recurring.c r ON r.v = n.v WHERE n.root < r.root)
+ SELECT v, root FROM c""")
+def _(s, d):
+    """Heavy edges only: the whole graph is one component."""
+    return graph.components(fx.graph(s, d).where("w >= 25").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 # ---------------------------------------------------------------- rasters
 def _eroded(times: int) -> str:
     return f"WITH {IMG}, m AS (SELECT y, x, MIN(p) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN {times} PRECEDING AND {times} FOLLOWING) AS p FROM bin) SELECT y, x, MIN(p) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN {times} PRECEDING AND {times} FOLLOWING) AS p FROM m"
@@ -512,15 +579,53 @@ def _(s, d):
     return raster.stencil(fx.binary(s, d), _CORNER)
 
 
+# The eight 3 x 3 masks for thinning (1 set, -1 not set, 0 free).
+SKELETON_MASKS = [
+    [[-1, -1, -1], [0, 1, 0], [1, 1, 1]],
+    [[0, -1, -1], [1, 1, -1], [1, 1, 0]],
+    [[1, 0, -1], [1, 1, -1], [1, 0, -1]],
+    [[1, 1, 0], [1, 1, -1], [0, -1, -1]],
+    [[1, 1, 1], [0, 1, 0], [-1, -1, -1]],
+    [[0, 1, 1], [-1, 1, 1], [-1, -1, 0]],
+    [[-1, 0, 1], [-1, 1, 1], [-1, 0, 1]],
+    [[-1, -1, 0], [-1, 1, 1], [0, 1, 1]],
+]
+_MASKS = ", ".join(f"({k}, {dy - 1}, {dx - 1}, {x})" for k, m in enumerate(SKELETON_MASKS) for dy, row in enumerate(m) for dx, x in enumerate(row) if x)
+
+
+@query("stencil_skeleton", f"""WITH {IMG}, k(mask, dy, dx, s) AS (VALUES {_MASKS}),
+ c AS (SELECT k.mask AS mask, b.y, b.x, bool_and(COALESCE(o.p, 0) = CASE WHEN k.s > 0 THEN 1 ELSE 0 END) AS ok FROM bin b CROSS JOIN k LEFT JOIN bin o ON o.y = b.y + k.dy AND o.x = b.x + k.dx GROUP BY 1, 2, 3) SELECT mask, y, x FROM c WHERE ok""")
+def _(s, d):
+    img = fx.binary(s, d)
+    parts = [raster.stencil(img, m).where("p = 1").select(F.lit(k).alias("mask"), "y", "x") for k, m in enumerate(SKELETON_MASKS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 @query("sobel", f"""WITH {IMG}, k(dy, dx, gx, gy) AS (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1))
  SELECT b.y AS y, b.x AS x, CAST(abs(SUM(COALESCE(o.p, 0) * k.gx)) + abs(SUM(COALESCE(o.p, 0) * k.gy)) AS BIGINT) AS p FROM img b CROSS JOIN k LEFT JOIN img o ON o.y = b.y + k.dy AND o.x = b.x + k.dx GROUP BY 1, 2""")
 def _(s, d):
     return raster.sobel(fx.image(s, d).select("y", "x", "p"))
 
 
-@query("fill", f"WITH RECURSIVE i AS ({DISC.format(n=48)}), f(y, x) AS (SELECT y, x FROM i WHERE p = 1 AND y = 24 AND x = 24 UNION SELECT i.y, i.x FROM f JOIN i ON i.p = 1 AND abs(i.y - f.y) + abs(i.x - f.x) = 1) SELECT y, x FROM f")
+_FILL = f"WITH RECURSIVE i AS ({DISC.format(n=48)}), f(y, x) AS (SELECT y, x FROM i WHERE p = 1 AND y = 24 AND x = 24 UNION SELECT i.y, i.x FROM f JOIN i ON i.p = 1 AND abs(i.y - f.y) + abs(i.x - f.x) = 1) SELECT y, x FROM f"
+
+for _name, _method in (("fill", "runs"), ("fill_frontier", "frontier")):
+
+    @query(_name, _FILL)
+    def _(s, d, method=_method):
+        return raster.flood_fill(generate.disc(s, 48), (24, 24), method)
+
+
+@query("fill_mask", f"""WITH RECURSIVE {IMG}, h AS (SELECT y, x, p FROM img WHERE p < 140), s0 AS (SELECT y, x FROM h ORDER BY y, x LIMIT 1), o(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+ f(y, x) AS (SELECT y, x FROM s0 UNION SELECT h.y, h.x FROM f CROSS JOIN o JOIN h ON h.y = f.y + o.dy AND h.x = f.x + o.dx) SELECT y, x FROM f""")
 def _(s, d):
-    return raster.flood_fill(generate.disc(s, 48), (24, 24))
+    """A ragged mask from the table, filled from its first pixel."""
+    img = cut(raster.threshold(fx.image(s, d).select("y", "x", "p"), 139).withColumn("p", 1 - F.col("p")))
+    first = img.where("p = 1").agg(F.min(F.struct("y", "x")).alias("s")).first()["s"]
+    return raster.flood_fill(img, (first["y"], first["x"]))
 
 
 _ALPHA = f"WITH {IMG} SELECT y, x, CAST(round_even(0.5 * p + 0.5 * ((x * 73 + y * 151) % 256), 0) AS BIGINT) AS p FROM img"
@@ -559,6 +664,14 @@ def _(s, d):
     return raster.magnify(generate.disc(s, 32), 2)
 
 
+@query("magnify_cubic", f"""WITH i AS ({DISC.format(n=32)}), o AS (SELECT o, (o + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS place FROM (SELECT unnest(range(128)) AS o)),
+ n AS (SELECT o, place, unnest(range(CAST(floor(place) AS BIGINT) - 1, CAST(floor(place) AS BIGINT) + 3)) AS n FROM o), d AS (SELECT o, least(greatest(n, 0), 31) AS c, abs(place - n) AS d FROM n),
+ w AS (SELECT o, c, CASE WHEN d <= 1 THEN 1.25::DOUBLE * d * d * d - 2.25::DOUBLE * d * d + 1 WHEN d < 2 THEN -0.75::DOUBLE * d * d * d + 3.75::DOUBLE * d * d - 6 * d + 3 ELSE 0 END AS w FROM d)
+ SELECT a.o AS y, b.o AS x, CAST(greatest(0, least(255, round_even(round(SUM(a.w * b.w * i.p * 255), 6), 0))) AS BIGINT) AS p FROM w a JOIN i ON i.y = a.c JOIN w b ON b.c = i.x GROUP BY 1, 2""")
+def _(s, d):
+    return raster.magnify_cubic(generate.disc(s, 32).withColumn("p", F.col("p") * 255), 4)
+
+
 @query("mask_density_filter", f"WITH r AS ({_RUNS}), n AS (SELECT y % 50 AS img, COUNT(*) AS n_runs FROM r WHERE p = 1 GROUP BY 1), t AS (SELECT vec_id % 50 AS img, SUM(len(embedding)) AS n FROM embeddings GROUP BY 1) SELECT n.img AS img, n_runs FROM n JOIN t ON n.img = t.img WHERE n_runs <= n * 0.18")
 def _(s, d):
     img = fx.binary(s, d)
@@ -566,11 +679,13 @@ def _(s, d):
     return raster.sparse_masks(runs, img.groupBy((F.col("y") % 50).alias("img")).agg(F.count(F.lit(1)).alias("n")), 0.18)
 
 
-@query("image_equality", "SELECT true AS equal")
+@query("image_equality", f"WITH {IMG}, a AS ({_eroded(2)}), b AS (SELECT y, x, p FROM bin) SELECT 'same' AS kind, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM a) AS equal UNION ALL SELECT 'not eroded', NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def _(s, d):
     img = fx.binary(s, d)
     t = lambda x: SparseTensor(x.withColumnRenamed("p", "v"), ("y", "x"))
-    return equal(t(raster.erode(img, 2)), t(raster.bit_unpack(raster.erode_bits(raster.bit_pack(img), 64, 2), 64)))
+    eroded = t(raster.erode(img, 2))
+    same = equal(eroded, t(raster.bit_unpack(raster.erode_bits(raster.bit_pack(img), 64, 2), 64)))
+    return same.select(F.lit("same").alias("kind"), "equal").unionAll(equal(eroded, t(img)).select(F.lit("not eroded").alias("kind"), "equal"))
 
 
 # ---------------------------------------------------------------- analytics
@@ -618,9 +733,9 @@ def _(s, d):
     return analytics.pivot_methods(fx.records(s, d), ["view", "click", "purchase"])
 
 
-@query("outer_ref_mean", f"WITH {REC}, f AS (SELECT CAST(c_custkey AS VARCHAR) AS matrix, CAST(c_nationkey + 1 AS DOUBLE) AS ref FROM customer WHERE c_custkey % 3 = 0) SELECT method, ROUND(avg(ref / time), 6) AS mean_ratio, COUNT(*) AS n FROM r FULL JOIN f ON r.matrix = f.matrix GROUP BY 1")
+@query("outer_ref_mean", f"WITH {REC}, f AS (SELECT CAST(c_custkey AS VARCHAR) AS matrix, CAST(c_nationkey + 1 AS DOUBLE) AS ref FROM customer) SELECT method, ROUND(avg(ref / time), 6) AS mean_ratio, COUNT(*) AS n FROM r FULL JOIN f ON r.matrix = f.matrix GROUP BY 1")
 def _(s, d):
-    ref = fx.customers(s, d).select(F.col("c_custkey").cast("string").alias("matrix"), (F.col("c_nationkey") + 1).cast("double").alias("ref"))
+    ref = fx.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("matrix"), (F.col("c_nationkey") + 1).cast("double").alias("ref"))
     return analytics.against_reference(fx.records(s, d), ref).select("method", F.round("mean_ratio", 6).alias("mean_ratio"), "n")
 
 
@@ -650,32 +765,46 @@ def _(s, d):
     return analytics.sample(fx.table(s, d, "part").select("p_partkey"), 50, "p_partkey", seed=1)
 
 
-@query("mtx_roundtrip", f"WITH {F1} SELECT i, j, CAST(v AS DOUBLE) AS v FROM f1")
-def _(s, d):
+def _folder(s, name: str) -> str:
     import uuid
 
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
 
-        folder = tempfile.mkdtemp(prefix="arrayloom-")
-    path = f"{folder}/mtx-{uuid.uuid4().hex}"
+@query("mtx_roundtrip", f"WITH {F1} SELECT i, j, CAST(v AS DOUBLE) AS v FROM f1")
+def _(s, d):
+    path = _folder(s, "mtx")
     matrix_market.write_matrix(_f1(s, d), path)
     return matrix_market.read_matrix(s, path).coo()
 
 
-# ---------------------------------------------------------------- the same over whole tables
-# The queries above that work on a part of lineitem or customer (as their SQL does), again over every row, as NAME_whole.
-def _over_whole_tables(f):
-    def run(s, d):
-        with fx.whole_tables():
-            return f(s, d)
+for _fmt in ("csr", "dcsr", "dense"):
 
-    return run
+    @query(f"mtx_read_{_fmt}", f"WITH {F1}, n AS (SELECT MAX(i) AS m, MAX(j) AS n FROM f1) " + ("SELECT r.i AS i, CAST((SELECT n + 1 FROM n) AS BIGINT) AS stored, CAST(COALESCE(SUM(f1.v), 0) AS DOUBLE) AS v FROM (SELECT unnest(range((SELECT m + 1 FROM n))) AS i) r LEFT JOIN f1 ON f1.i = r.i GROUP BY 1" if _fmt == "dense" else "SELECT r.i AS i, COUNT(f1.j) AS stored, CAST(COALESCE(SUM(f1.v), 0) AS DOUBLE) AS v FROM (SELECT unnest(range((SELECT m + 1 FROM n))) AS i) r LEFT JOIN f1 ON f1.i = r.i GROUP BY 1" if _fmt == "csr" else "SELECT i, COUNT(*) AS stored, CAST(SUM(v) AS DOUBLE) AS v FROM f1 GROUP BY 1"))
+    def _(s, d, fmt=_fmt):
+        path = _folder(s, "mtx")
+        matrix_market.write_matrix(_f1(s, d), path)
+        rows = matrix_market.read_matrix(s, path, encoding=fmt)
+        return rows.select("i", F.size("val").cast("long").alias("stored"), F.aggregate("val", F.lit(0.0), lambda a, b: a + b).alias("v"))
 
 
-for _name, _sql in list(SQL.items()):
-    if fx.whole_sql(_sql) != _sql:
-        query(f"{_name}_whole", fx.whole_sql(_sql))(_over_whole_tables(QUERIES[_name]))
-for _name in ("equality_check", "bfs_check"):
-    query(f"{_name}_whole", SQL[_name])(_over_whole_tables(QUERIES[_name]))
+@query("vector_roundtrip", f"WITH {X} SELECT j AS i, v FROM x")
+def _(s, d):
+    path, x = _folder(s, "vector"), fx.vector(s, d)
+    n = x.df.agg(F.max("j")).first()[0] + 1
+    matrix_market.write_vector(SparseTensor(x.df, x.axes, (n,)), path)
+    return matrix_market.read_vector(s, path).coo()
+
+
+@query("runs_roundtrip", f"WITH {IMG} SELECT y, x, p FROM bin")
+def _(s, d):
+    path = _folder(s, "runs")
+    matrix_market.write_runs(fx.binary(s, d), path)
+    return matrix_market.read_runs(s, path)
+
+
+@query("json_roundtrip", f"WITH {REC} SELECT method, matrix, time FROM r")
+def _(s, d):
+    path = _folder(s, "records")
+    analytics.save_results(fx.records(s, d), path)
+    return analytics.load_results(s, path, lines=True).select("method", "matrix", "time")

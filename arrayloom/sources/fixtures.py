@@ -5,10 +5,6 @@ Each has the same definition in SQL next to it, for the oracle.
 
 from __future__ import annotations
 
-import re
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,58 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole_tables():
-    """Within this, matrix(), graph() and customers() take every row of their tables."""
-    before = _whole.set(True)
-    try:
-        yield
-    finally:
-        _whole.reset(before)
-
-
-def part(df: DataFrame, condition) -> DataFrame:
-    return df if _whole.get() else df.where(condition)
-
-
-def whole_sql(sql: str) -> str:
-    """The same SQL over every row."""
-    for condition in (r"WHERE l_quantity <= \d+ (?=GROUP)", r"(?<=WHERE )a\.l_quantity <= 10 AND ", r" WHERE c_custkey % 3 = 0"):
-        sql = re.sub(condition, "", sql)
-    return sql
-
-
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(table(spark, sf_dir, "customer"), "c_custkey % 3 = 0")
-
-
-def matrix(spark: SparkSession, sf_dir: str, most: int = 10) -> SparseTensor:
+def matrix(spark: SparkSession, sf_dir: str) -> SparseTensor:
     """customers (mod 500) by suppliers, summed quantities."""
-    l = part(table(spark, sf_dir, "lineitem"), F.col("l_quantity") <= most).select("l_orderkey", F.col("l_suppkey").alias("j"), "l_quantity")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("j"), "l_quantity")  # noqa: E741
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 500).alias("i"))
     return SparseTensor(l.join(o, "l_orderkey").groupBy("i", "j").agg(F.sum("l_quantity").alias("v")), ("i", "j"))
 
 
-def matrix_sql(most: int = 10, name: str = "f1") -> str:
-    return f"""{name} AS (SELECT o_custkey % 500 AS i, l_suppkey AS j, SUM(l_quantity) AS v
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= {most} GROUP BY 1, 2)"""
+MATRIX_SQL = """f1 AS (SELECT o_custkey % 500 AS i, l_suppkey AS j, SUM(l_quantity) AS v
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts of consecutive order lines, both directions, least weight: (src, dst, w)."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # noqa: E741
     nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"), F.col("l_quantity").alias("q"))
-    pairs = part(l, "l_quantity <= 10").join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b")
+    pairs = l.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b")
     both = F.explode(F.array(F.struct(F.col("l_partkey").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("l_partkey").alias("dst"))))
     return pairs.select(both.alias("e"), F.least("l_quantity", "q").alias("w")).groupBy("e.src", "e.dst").agg(F.min("w").alias("w"))
 
 
 GRAPH_SQL = """p AS (SELECT a.l_partkey AS s, b.l_partkey AS t, LEAST(a.l_quantity, b.l_quantity) AS w
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_quantity <= 10 AND a.l_partkey <> b.l_partkey),
+    WHERE a.l_partkey <> b.l_partkey),
   g AS (SELECT src, dst, MIN(w) AS w FROM (SELECT s AS src, t AS dst, w FROM p UNION ALL SELECT t, s, w FROM p) GROUP BY 1, 2)"""
 
 

@@ -7,9 +7,11 @@ kept with duplicates="first" (the least value, so the answer doesn't depend on o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.encodings import encode
+from ..operators.raster import rle_encode
 from ..tensor import SparseTensor
 
 
@@ -17,7 +19,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line"), "_metadata.file_path").where("line <> ''")
 
 
-def read_matrix(spark: SparkSession, path: str, duplicates: str = "sum") -> SparseTensor:
+def read_matrix(spark: SparkSession, path: str, duplicates: str = "sum", encoding: str | None = None) -> SparseTensor | DataFrame:
+    """The matrix; with an encoding (csr, dcsr, dense or any other of operators.encodings) its encoded rows."""
+    if encoding:
+        return encode(read_matrix(spark, path, duplicates), encoding)
     lines = _lines(spark, path)
     header = lines.where(F.lower("line").startswith("%%matrixmarket")).first()
     words = set(header["line"].lower().split()) if header else set()
@@ -64,3 +69,18 @@ def write_vector(t: SparseTensor, path: str) -> None:
     spark = t.df.sparkSession
     head = spark.createDataFrame([(str(t.shape[0]),)], "value string").coalesce(1)
     head.unionAll(t.df.select(F.concat_ws(" ", (F.col(t.axes[0]) + 1).cast("string"), F.col("v").cast("string")).alias("value"))).write.mode("overwrite").text(path)
+
+
+def write_runs(img: DataFrame, path: str) -> None:
+    """An image (y, x, p) as the starts of its runs: a row, column and value wherever a row's value changes, 1-based."""
+    runs = rle_encode(img)
+    size = img.agg(F.max("y").alias("y"), F.max("x").alias("x")).first()
+    write_matrix(SparseTensor(runs.select(F.col("y").alias("i"), F.col("x0").alias("j"), F.col("p").alias("v")), ("i", "j"), (size["y"] + 1, size["x"] + 1)), path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(y, x, p): the complete image of run starts."""
+    t = read_matrix(spark, path)
+    end = F.coalesce(F.lead("j").over(Window.partitionBy("i").orderBy("j")), F.lit(t.shape[1])) - 1
+    runs = t.df.select(F.col("i").alias("y"), F.col("j").alias("x0"), end.alias("x1"), F.col("v").alias("p"))
+    return runs.select("y", F.explode(F.sequence("x0", F.col("x1"))).alias("x"), F.col("p").cast("long").alias("p"))
