@@ -1,34 +1,43 @@
 """Main text of web pages with wrappers inferred as union-free regular expressions.
 
-A page is a stream of tokens: tags (name and class words) and text. Pages of one host come from a few templates, so their
-streams are aligned one after another into a wrapper, a union-free regular expression over tags with
+A page is a stream of tags (name and class words) and texts. Pages of one host come from a few templates, so their streams are
+aligned one after another into a wrapper, a union-free regular expression over tags with
 
-* texts: each keeps the fingerprints of what all its pages show there; a mismatch removes them, and without any it is a slot,
-* optional groups, where one stream has tokens that the other lacks, and
-* repeated groups, where a run of tokens follows itself.
+* text slots: each keeps the fingerprints of what all its pages show there (a mismatch removes them), how many pages
+  have it and how much text they put there,
+* optional nodes, which some of the streams lack, and
+* repeated groups, where a run of nodes follows itself.
 
-First, each stream is reduced by folding runs that repeat side by side into repeated groups. Streams are then
-aligned by longest common subsequence; groups align with groups of the same kind when their bodies do. Whatever stays
-unmatched becomes an optional group, and the result is folded again, until nothing changes.
+Streams are kept as trees of properly nested tags, and aligned level by level. When an element ends, runs of its children
+that follow themselves, of any width, are folded into repeated groups: their instances are aligned with each other.
+Two levels are aligned by a longest common subsequence of their tags; matched nodes are joined (a group with an instance of its
+body, too), the others become optional, and what then follows itself is folded again.
 
 A host's pages with an article, with a main element only and with neither are templates of their own, with a wrapper each.
 Aligning is done in three levels: within an input partition, by (host, salt), by host. Each passes on one wrapper for each
 host and template, so a host with a third of all pages is never gathered: its pages are met where they lie.
 
-The wrapper gives each host its slots with their path of enclosing elements, and its template texts: those that at least
-`PAGES` different pages have at one place, and all pages that have the place. A slot is content if it lies in the
-wrapper's article (or main) element and in none of the boilerplate elements (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments); in wrappers without an article every slot outside
-boilerplate is content. Each page is then read against its template's wrapper, by path: a block whose texts are all template
-texts is left out, and a page of nothing but template texts keeps them. Templates with fewer than `PAGES` pages that
-differ have no template texts, since nothing tells them from content there.
+The wrapper decides what is content, slot by slot:
+
+* The region. Where the wrapper has an article (else: a main element), it is the region. In other wrappers it is found by the
+  slots: from the root it goes down to the child that holds at least `SHARE` of the text that varies from page to page and isn't
+  linked, as long as that child is a container that stands once in the page; a single first-level heading beside it belongs to it.
+* Template texts, which at least `PAGES` different pages have at one place, and all pages that have the place: a block of
+  nothing but these is no content, whatever its tags and classes. Repeated groups of links are menus where the region was
+  found by its slots.
+* Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) by the tags and
+  class words below. Adverts and readers' comments vary from page to page just as articles do, so alignment alone can't
+  tell them.
+
+Each page is then read along its template's slots. Templates with fewer than `PAGES` pages that differ have no template
+texts, since nothing tells them from content there; a page of nothing but template texts keeps them.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by a line feed in page order; nothing else is dropped or cut.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are tolerated as browsers do; a null or
 odd url makes its own host (empty); pages without markup are one block of text; rows that repeat a page_id are
-pages each; other columns are ignored.
+pages each; copies of a page are no evidence of a template; pages may be nested or long at will; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +46,7 @@ import hashlib
 import html as entities
 import json
 import re
-from difflib import SequenceMatcher
-from functools import reduce
+import sys
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,10 +55,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, frame, read_table
 
 SALTS = 32
-WIDEST = 256  #: nodes in a run that is looked at as a repeated group
 PAGES = 3  #: pages that differ and show a text at one place, for it to be the template's
-SHAPES = 4096  #: shapes of a host's pages that a partition holds before they are aligned
-LARGE = 400_000  #: cells of an alignment table beyond which blocks are matched instead
+SHARE = 0.8  #: of a level's varying text that a child must hold to be the region
 
 # Element and class names of the HTML standard and common usage.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
@@ -68,37 +74,38 @@ NOISE_WORDS = {
     "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "form",
     "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "pagination", "pager", "skip", "toolbar",
 }
-MAIN_TAGS = {"article"}
-SECOND_TAGS = {"main"}
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "font", "span"}
+MAIN_TAGS = ("article", "main")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
 # ---------------------------------------------------------------- tokens
 def tokens(html: str):
     """('<', name, class words), ('>', name, ()) and ('#', text, ()) in page order; raw elements hold no text."""
-    at, n = 0, len(html)
+    at, n, search = 0, len(html), _TOKEN.search
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = search(html, at)
         if m is None:
             break
         if m.start() > at:
             yield "#", html[at : m.start()], ()
         at = m.end()
-        name = m[2]
+        end, name, rest = m.groups()
         if not name:
             continue
         name = name.lower()
-        if m[1]:
+        if end:
             yield ">", name, ()
             continue
-        words = tuple(sorted({w for g in _CLASS.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(g).lower()) if w})) if "=" in m[3] else ()
+        words = tuple(sorted({w for g in _CLASS.findall(rest) for w in re.split(r"[\s_-]+", "".join(g).lower()) if w})) if "=" in rest else ()
         yield "<", name, words
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+        if name in RAW and not rest.rstrip().endswith("/"):
+            stop = _ENDS[name].search(html, at)
+            at = stop.end() if stop else n
             yield ">", name, ()
     if at < n:
         yield "#", html[at:], ()
@@ -117,270 +124,250 @@ def closes(name: str, open_: list[tuple[str, tuple]]) -> int:
 
 
 def events(html: str):
-    """('<' or '>' or '#', element or text, open elements) with the elements properly nested."""
+    """('<' or '>', element) and ('#', text) with the elements properly nested; an element is (name, class words)."""
     open_: list[tuple[str, tuple]] = []
+    held: dict[str, int] = {}  # open elements by name
     for kind, name, words in tokens(html):
         if kind == "#":
-            yield "#", name, open_
+            yield "#", name
         elif kind == "<":
             for _ in range(closes(name, open_)):
-                yield ">", open_.pop(), open_
-            yield "<", (name, words), open_
+                x = open_.pop()
+                held[x[0]] -= 1
+                yield ">", x
+            x = (name, words)
+            yield "<", x
             if name in VOID:
-                yield ">", (name, words), open_
+                yield ">", x
             else:
-                open_.append((name, words))
-        elif any(x[0] == name for x in open_):
+                open_.append(x)
+                held[name] = held.get(name, 0) + 1
+        elif held.get(name):
             while True:
                 x = open_.pop()
-                yield ">", x, open_
+                held[x[0]] -= 1
+                yield ">", x
                 if x[0] == name:
                     break
     while open_:
-        yield ">", open_.pop(), open_
+        yield ">", open_.pop()
 
 
 # ---------------------------------------------------------------- wrappers
-# Nodes: ["<", name, words...], [">", name], ["#"], ["?", body], ["+", body]; bodies are lists of nodes.
-class Text(list):
-    """The node ["#"] with the number of pages that have it and the fingerprints of the texts that all of them show there."""
+class Text:
+    """A text slot: pages that have it, fingerprints of the texts that all of them show there, characters, optional or not."""
 
-    __slots__ = ("pages", "same")
+    __slots__ = ("pages", "same", "chars", "opt")
+    head = "#"
 
-    def __init__(self, pages: int, same: frozenset):
-        super().__init__(("#",))
-        self.pages, self.same = pages, same
+    def __init__(self, pages: int, same: frozenset, chars: int, opt: bool = False):
+        self.pages, self.same, self.chars, self.opt = pages, same, chars, opt
 
 
-def fingerprint(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def unite(a: list, b: list, apart: bool) -> list:
-    """Two runs of one shape as one: of different pages (apart), what differs goes; of the same pages, both are shown."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x[0] == "#":
-            if apart:
-                x = Text(x.pages + y.pages, x.same & y.same)
-            elif x.pages == y.pages:
-                x = Text(x.pages, x.same | y.same)
-            elif x.pages < y.pages:
-                x = y
-        elif x[0] == "?" or x[0] == "+":
-            x = [x[0], unite(x[1], y[1], apart)]
-        out.append(x)
-    return out
+class Element:
+    __slots__ = ("head", "kids", "opt")
 
+    def __init__(self, head: tuple[str, tuple], kids: list, opt: bool = False):
+        self.head, self.kids, self.opt = head, kids, opt
 
-def dump(nodes: list) -> str:
-    plain = lambda nodes: [["#", x.pages, *sorted(x.same)] if x[0] == "#" else [x[0], plain(x[1])] if x[0] in "?+" else x for x in nodes]
-    return json.dumps(plain(nodes))
 
+class Group:
+    """A run of nodes that is repeated."""
 
-def load(wrapper: str) -> list:
-    rich = lambda nodes: [Text(x[1], frozenset(x[2:])) if x[0] == "#" else [x[0], rich(x[1])] if x[0] in "?+" else x for x in nodes]
-    return rich(json.loads(wrapper))
+    __slots__ = ("head", "kids", "opt")
 
+    def __init__(self, kids: list, opt: bool = False):
+        self.head, self.kids, self.opt = kids[0].head, kids, opt
 
-def stream(html: str) -> list:
-    out = []
-    for kind, x, _ in events(html):
-        if kind == "#":
-            if x.strip():
-                text = Text(1, frozenset((fingerprint(x),)))
-                if out and out[-1][0] == "#":
-                    out[-1:] = unite(out[-1:], [text], False)
-                else:
-                    out.append(text)
-        else:
-            out.append(["<", x[0], *x[1]] if kind == "<" else [">", x[0]])
-    return out
 
+#: What joining does with the texts of two slots: those of one page are all shown, those of different pages must agree; after an
+#: alignment both may be mixed, and then neither adds evidence.
+SAME_PAGE, APART, MIXED = "same page", "apart", "mixed"
 
-def _balanced(nodes: list) -> bool:
-    depth = 0
-    for x in nodes:
-        depth += (x[0] == "<") - (x[0] == ">")
-        if depth < 0:
-            return False
-    return depth == 0
 
-
-def _absorb(nodes: list) -> list:
-    """Instances of a repeated group's body right before or after the group belong to it."""
-    out: list = []
-    i = 0
-    while i < len(nodes):
-        x = nodes[i]
-        i += 1
-        if x[0] == "+":
-            w = len(x[1])
-            while out[-w:] == x[1] or out[-1:] == [x]:
-                k = 1 if out[-1] == x else w
-                x = ["+", unite(x[1], out[-1][1] if out[-1] == x else out[-w:], False)]
-                del out[-k:]
-            while nodes[i : i + w] == x[1] or nodes[i : i + 1] == [x]:
-                k = 1 if nodes[i] == x else w
-                x = ["+", unite(x[1], nodes[i][1] if nodes[i] == x else nodes[i : i + w], False)]
-                i += k
-        out.append(x)
-    return out
-
-
-def fold(nodes: list, widest: int = WIDEST) -> list:
-    """Balanced runs of up to `widest` nodes that follow themselves become repeated groups; shortest first, until nothing changes."""
-    nodes, changed = _absorb(nodes), True
-    names: dict[str | tuple, int] = {}
-    number = lambda: np.array([names.setdefault(json.dumps(x) if x[0] in "?+" else tuple(x), len(names)) for x in nodes])
-    ids = number()
-    while changed:
-        changed, width = False, 1
-        while width <= min(widest, len(nodes) // 2):
-            equal = ids[:-width] == ids[width:]
-            if np.count_nonzero(equal) < width:
-                width += 1
-                continue
-            same = np.concatenate(([0], np.cumsum(equal)))
-            starts = np.flatnonzero(same[width:] - same[:-width] == width) if len(same) > width else []
-            for i in starts:
-                body = nodes[i : i + width]
-                if _balanced(body) and body != [["#"]]:
-                    j = i + width
-                    while nodes[j : j + width] == body:
-                        body = unite(body, nodes[j : j + width], False)
-                        j += width
-                    nodes = _absorb([*nodes[:i], body[0] if width == 1 and body[0][0] == "+" else ["+", body], *nodes[j:]])
-                    ids, changed = number(), True
-                    break
-            else:
-                width += 1
-    return nodes
+def fingerprint(text: str) -> int:
+    """A hash of the text, with its length (up to a million) in the lowest 20 bits."""
+    text = " ".join(text.split())
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") << 20 | min(len(text), 0xFFFFF)
+
+
+def join(a, b, mode: str):
+    """One node for two with the same head."""
+    opt = a.opt or b.opt
+    if a.head == "#" and type(a) is type(b) is Text:
+        same = a.same | b.same if mode == SAME_PAGE else a.same & b.same
+        return Text(a.pages + b.pages if mode == APART else max(a.pages, b.pages), same, a.chars + b.chars, opt)
+    if type(a) is type(b) is Element:
+        return Element(a.head, align(a.kids, b.kids, mode), opt)
+    return Group(align(a.kids if type(a) is Group else [a], b.kids if type(b) is Group else [b], mode), opt)
+
+
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence, as pairs of places. Rows of the table are the bits of one number each."""
+    bits: dict = {}
+    for j, y in enumerate(b):
+        bits[y] = bits.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v, rows = full, []
+    for x in a:
+        rows.append(v)
+        u = v & bits.get(x, 0)
+        v = (v + u | v - u) & full
+    rows.append(v)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
 
 
-def _alike(a, b) -> bool:
-    """Whether two nodes can stand at one place of the wrapper."""
-    if a == b:
-        return True
-    if a[0] in "?+" and b[0] in "?+":
-        return a[1][:1] == b[1][:1]
-    return False
+def align(a: list, b: list, mode: str) -> list:
+    """One level for both: matched nodes joined, the others optional, folded again."""
+    a, b = lift(a, b), lift(b, a)
+    x, y = [n.head for n in a], [n.head for n in b]
+    if x == y:
+        return [join(m, n, mode) for m, n in zip(a, b)]
+    out, i, j = [], 0, 0
+    head = 0
+    while head < len(x) and head < len(y) and x[head] == y[head]:
+        head += 1
+    pairs = [(k, k) for k in range(head)] + [(p + head, q + head) for p, q in matches(x[head:], y[head:])]
+    for p, q in [*pairs, (len(a), len(b))]:
+        for n in (*a[i:p], *b[j:q]):
+            n.opt = True
+            out.append(n)
+        if p < len(a):
+            out.append(join(a[p], b[q], mode))
+        i, j = p + 1, q + 1
+    return fold(out, MIXED)
 
 
-def _join(a, b):
-    if a == b:
-        return unite([a], [b], True)[0]
-    kind = "+" if a[0] == b[0] == "+" else "?" if a[0] == b[0] else "+"
-    body = align(a[1], b[1])
-    return [kind, body] if a[0] == b[0] else ["?", [["+", body]]]
+def lift(nodes: list, other: list) -> list:
+    """Runs that are the body of a wider repeated group of the other level count as that group."""
+    for g in other:
+        if type(g) is Group and len(g.kids) > 1:
+            body, out, i = [n.head for n in g.kids], [], 0
+            while i < len(nodes):
+                run = nodes[i : i + len(body)]
+                if type(nodes[i]) is not Group and [n.head for n in run] == body:
+                    out.append(Group(run))
+                    i += len(body)
+                else:
+                    out.append(nodes[i])
+                    i += 1
+            nodes = out
+    return nodes
 
 
-def lift(nodes: list, other: list) -> list:
-    """Runs that are the body of a repeated group of the other expression count as that group."""
-    for body in [x[1] for x in other if x[0] == "+"]:
+def fold(nodes: list, mode: str) -> list:
+    """Runs of nodes that follow themselves, shortest first, become repeated groups until nothing changes."""
+    width = 1
+    while 2 * width <= len(nodes):
+        starts = _repeats([n.head for n in nodes], width)
+        if not starts:
+            width += 1
+            continue
         out, i = [], 0
-        while i < len(nodes):
-            if nodes[i : i + len(body)] == body:
-                own = ["+", nodes[i : i + len(body)]]
-                if out and out[-1] == own:
-                    out[-1:] = unite(out[-1:], [own], False)
-                else:
-                    out.append(own)
-                i += len(body)
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
+        for s in starts:
+            if s < i or width == 1 and type(nodes[s]) is type(nodes[s + 1]) is Text:
+                continue
+            out += nodes[i:s]
+            body, heads, i = nodes[s : s + width], [n.head for n in nodes[s : s + width]], s + width
+            opt = all(n.opt for n in body)
+            while i + width <= len(nodes) and [n.head for n in nodes[i : i + width]] == heads:
+                opt = opt and all(n.opt for n in nodes[i : i + width])
+                flat = [k for n in body for k in n.kids] if width == 1 and type(body[0]) is Group else body
+                more = [k for n in nodes[i : i + width] for k in n.kids] if width == 1 and type(nodes[i]) is Group else nodes[i : i + width]
+                body = align(flat, more, mode)
+                i += width
+            out.append(Group(body, opt))
+        if not i:
+            width += 1
+            continue
+        nodes, width = out + nodes[i:], 1
     return nodes
 
 
-def align(a: list, b: list) -> list:
-    """One expression for both: matched nodes joined, unmatched runs optional, folded again."""
-    if a == b:
-        return unite(a, b, True)
-    a, b = lift(a, b), lift(b, a)
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    first, last = unite(a[:head], b[:head], True), unite(a[len(a) - tail :], b[len(b) - tail :], True)
-    n, m = len(x), len(y)
-    if n * m > LARGE:
-        return fold(first + _align_large(x, y) + last)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _alike(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
-    out, i, j, left, right = [], 0, 0, [], []
-
-    def flush():
-        for one, run in ((left, right), (right, left)):  # a group against one instance of its body
-            if len(one) == 1 and one[0][0] in "?+" and one[0][1] == run:
-                out.append([one[0][0], unite(one[0][1], run, True)])
-                left.clear()
-                right.clear()
-                return
-        for run in (left, right):
-            if run:
-                out.extend([run[0]] if len(run) == 1 and run[0][0] == "?" else [["?", list(run)]])
-                run.clear()
-
-    while i < n and j < m:
-        if _alike(x[i], y[j]):
-            flush()
-            out.append(_join(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            left.append(x[i])
-            i += 1
+def _repeats(heads: list, width: int) -> list[int]:
+    """Where a run of that width is followed by itself."""
+    if len(heads) < 64:
+        return [s for s in range(len(heads) - 2 * width + 1) if heads[s] == heads[s + width] and heads[s : s + width] == heads[s + width : s + 2 * width] and (width > 1 or heads[s] != "#")]
+    names: dict = {}
+    ids = np.array([names.setdefault(h, len(names)) for h in heads])
+    equal = ids[:-width] == ids[width:]
+    if np.count_nonzero(equal) < width:
+        return []
+    runs = np.concatenate(([0], np.cumsum(equal)))
+    found = np.flatnonzero(runs[width:] - runs[:-width] == width).tolist()
+    return found if width > 1 else [s for s in found if heads[s] != "#"]
+
+
+def page_tree(html: str) -> list:
+    """A page's own wrapper."""
+    level: list = []
+    above: list[list] = []
+    for kind, x in events(html):
+        if kind == "#":
+            if x.strip():
+                mark = fingerprint(x)
+                text = Text(1, frozenset((mark,)), mark & 0xFFFFF)
+                if level and type(level[-1]) is Text:
+                    level[-1] = join(level[-1], text, SAME_PAGE)
+                else:
+                    level.append(text)
+        elif kind == "<":
+            above.append(level)
+            level = []
         else:
-            right.append(y[j])
-            j += 1
-    left.extend(x[i:])
-    right.extend(y[j:])
-    flush()
-    return fold(first + out + last)
+            kids, level = fold(level, SAME_PAGE), above.pop()
+            level.append(Element(x, kids))
+    return fold(level, SAME_PAGE)
 
 
-def _align_large(x: list, y: list) -> list:
-    """The same for long streams by matching blocks instead of the quadratic table."""
+def dump(nodes: list) -> str:
+    """Flat, so that nesting has no bound."""
     out: list = []
-    for kind, i, j, k, l in SequenceMatcher(None, [json.dumps(v) for v in x], [json.dumps(v) for v in y], autojunk=False).get_opcodes():  # noqa: E741
-        if kind == "equal":
-            out += unite(x[i:j], y[k:l], True)
+    todo = list(reversed(nodes))
+    while todo:
+        x = todo.pop()
+        if x is None:
+            out.append(0)
+        elif type(x) is Text:
+            out.append(["#", int(x.opt), x.pages, x.chars, *sorted(x.same)])
         else:
-            out += [["?", run] for run in (x[i:j], y[k:l]) if run]
-    return out
-
-
-def slots(nodes: list, open_: tuple = ()) -> dict[tuple, set[int]]:
-    """The paths of enclosing elements of all texts of a wrapper, with the template's texts there."""
-    found: dict[tuple, set[int]] = {}
-    stack = [list(open_)]
-
-    def walk(nodes):
-        for x in nodes:
-            if x[0] == "<":
-                stack[0].append((x[1], tuple(x[2:])))
-            elif x[0] == ">":
-                while stack[0] and stack[0].pop()[0] != x[1]:
-                    pass
-            elif x[0] == "#":
-                fixed = found.setdefault(tuple(stack[0]), set())
-                if x.pages >= PAGES:
-                    fixed |= x.same
-            elif x[0] == "?" and not _balanced(x[1]):
-                kept = list(stack[0])
-                walk(x[1])
-                stack[0] = kept
-            else:
-                walk(x[1])
+            out.append(["+", int(x.opt)] if type(x) is Group else ["<", int(x.opt), x.head[0], *x.head[1]])
+            todo.append(None)
+            todo.extend(reversed(x.kids))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def load(wrapper: str) -> list:
+    level: list = []
+    above: list = []
+    for x in json.loads(wrapper):
+        if x == 0:
+            kids, (level, start) = level, above.pop()
+            level.append(Group(kids, bool(start[1])) if start[0] == "+" else Element((start[2], tuple(start[3:])), kids, bool(start[1])))
+        elif x[0] == "#":
+            level.append(Text(x[2], frozenset(x[4:]), x[3], bool(x[1])))
+        else:
+            above.append((level, x))
+            level = []
+    return level
+
 
-    walk(nodes)
-    return found
+def merged(wrappers) -> list:
+    """One wrapper for several."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # nesting of a page is the depth of an alignment
+    out = None
+    for w in wrappers:
+        out = w if out is None else align(out, w, APART)
+    return out or []
 
 
 # ---------------------------------------------------------------- content
@@ -389,63 +376,145 @@ def noise(element: tuple[str, tuple]) -> bool:
     return name in NOISE_TAGS or any(w in NOISE_WORDS for w in words) and name not in ("article", "body", "html", "main")
 
 
-def content_tags(wrapper: list) -> set[str]:
-    """Elements that hold the host's main text, from the wrapper's slots."""
-    paths = [p for p in slots(wrapper) if not any(noise(e) for e in p)]
-    for tags in (MAIN_TAGS, SECOND_TAGS):
-        if any(e[0] in tags for p in paths for e in p):
-            return tags
-    return set()
+class Slot:
+    """A path of a wrapper: what its texts are, and the paths under it."""
 
+    __slots__ = ("head", "kids", "inside", "clean", "fixed", "mass", "once", "linked")
 
-def template_texts(wrapper: list) -> list:
-    """[path, fingerprints]: the template's texts outside boilerplate elements."""
-    return [[path, sorted(fixed)] for path, fixed in slots(wrapper).items() if fixed and not any(noise(e) for e in path)]
+    def __init__(self, head=None):
+        self.head, self.kids, self.inside, self.clean, self.fixed, self.mass, self.once, self.linked = head, {}, False, True, set(), 0, True, 0
 
 
-def main_text(html: str, tags: set[str], fixed: dict[tuple, set[int]]) -> str:
-    """The blocks of text inside one of the tags (anywhere, if there are none), outside boilerplate and not the template's."""
-    blocks, now, varies = [], [], not fixed
-
-    def end():
-        nonlocal varies
-        text = _SPACE.sub(" ", "".join(now)).strip()
-        if text and varies:
-            blocks.append(text)
-        now.clear()
-        varies = not fixed
-
-    for kind, x, open_ in events(html):
+def slots(wrapper: list) -> list[Slot]:
+    """The wrapper's paths from the root on, parents first; mass: varying text that isn't linked, of the whole subtree."""
+    root = Slot()
+    order, todo = [root], [(root, wrapper, False, False)]
+    up: dict[int, Slot] = {}
+    own: dict[int, list[int]] = {id(root): [0, 0]}
+    while todo:
+        slot, nodes, many, link = todo.pop()
+        for n in nodes:
+            if type(n) is Text:
+                fixed = n.same if n.pages >= PAGES else ()
+                slot.fixed.update(fixed)
+                own[id(slot)][link] += max(0, n.chars - n.pages * sum(f & 0xFFFFF for f in fixed))
+            elif type(n) is Group:
+                todo.append((slot, n.kids, True, link))
+            else:
+                kid = slot.kids.get(n.head)
+                if kid is None:
+                    kid = slot.kids[n.head] = Slot(n.head)
+                    order.append(kid)
+                    up[id(kid)], own[id(kid)] = slot, [0, 0]
+                else:
+                    kid.once = False
+                kid.once = kid.once and not many
+                todo.append((kid, n.kids, False, link or n.head[0] == "a"))
+    for s in order:
+        s.mass, s.linked = own[id(s)]
+    for s in reversed(order[1:]):
+        if not noise(s.head):
+            up[id(s)].mass += s.mass
+        up[id(s)].linked += s.linked
+    return order
+
+
+def decide(wrapper: list) -> list[Slot]:
+    """The slots with `inside` set for those whose texts are content."""
+    order = slots(wrapper)
+    root = order[0]
+    tag = next((t for t in MAIN_TAGS if any(t == s.head[0] for s in clean(root))), "")
+    region = root
+    while not tag:
+        next_ = [k for k in region.kids.values() if k.once and k.head[0] in CONTAINERS and not noise(k.head) and k.mass >= SHARE * region.mass > 0]
+        if not next_:
+            break
+        region = next_[0]
+    todo = [(root, region is root and not tag)]
+    while todo:
+        s, inside = todo.pop()
+        s.inside = inside
+        for k in s.kids.values():
+            menu = not tag and not k.once and k.linked > 0 and k.mass == 0 and k.head[0] != "a"
+            title = not tag and k.once and k.head[0] == "h1" and k.mass > 0 and s.clean
+            k.clean = s.clean and not noise(k.head)
+            todo.append((k, (inside or k is region or title or k.head[0] == tag) and not noise(k.head) and not menu))
+    return order
+
+
+def clean(root: Slot):
+    """The paths without boilerplate elements."""
+    todo = [root]
+    while todo:
+        for k in todo.pop().kids.values():
+            if not noise(k.head):
+                yield k
+                todo.append(k)
+
+
+def dump_slots(wrapper: list) -> str:
+    """What reading needs: for each path its parent's number, head, whether its texts are content, and its template texts."""
+    order = decide(wrapper)
+    number = {id(s): i for i, s in enumerate(order)}
+    up = {id(k): number[id(s)] for s in order for k in s.kids.values()}
+    has_main = any(s.head and s.head[0] in MAIN_TAGS and s.inside for s in order)
+    rows = [[up.get(id(s), -1), list(s.head[1]) if s.head else [], s.head[0] if s.head else "", int(s.inside), sorted(s.fixed) if s.inside else []] for s in order]
+    return json.dumps([has_main, rows], separators=(",", ":"))
+
+
+def load_slots(model: str) -> tuple[bool, Slot]:
+    has_main, rows = json.loads(model)
+    order: list[Slot] = []
+    for up, words, name, inside, fixed in rows:
+        s = Slot((name, tuple(words)))
+        s.inside, s.fixed = bool(inside), set(fixed)
+        order.append(s)
+        if up >= 0:
+            order[up].kids[s.head] = s
+    return has_main, order[0]
+
+
+def main_text(html: str, root: Slot | None, fixed: bool = True) -> str:
+    """The blocks of text in content slots; without a wrapper, all outside boilerplate. Blocks of nothing but template texts are left out (fixed)."""
+    blocks, now = [], []
+    inside = root is None or root.inside
+    slot, above = root, []
+    seen = varies = False
+    for kind, x in events(html):
         if kind == "#":
-            if (not tags or any(e[0] in tags for e in open_)) and not any(noise(e) for e in open_):
+            if inside:
                 now.append(entities.unescape(x))
                 if not varies and x.strip():
-                    here = fixed.get(tuple(open_))
-                    varies = not here or fingerprint(x) not in here
-        elif x[0] in BLOCKS or noise(x) and x[0] not in INLINE:
-            end()
-        elif x[0] == "br":
+                    seen = True
+                    varies = not fixed or slot is None or not slot.fixed or fingerprint(x) not in slot.fixed
+            continue
+        if x[0] in BLOCKS or x[0] not in INLINE and noise(x):
+            if seen and varies and (text := _SPACE.sub(" ", "".join(now)).strip()):
+                blocks.append(text)
+            now.clear()
+            seen = varies = False
+        elif x[0] == "br" and kind == "<":
             now.append(" ")
-    end()
+        if kind == "<":
+            above.append((slot, inside))
+            slot = slot.kids.get(x) if slot is not None else None
+            inside = slot.inside if slot is not None else inside and not noise(x)
+        else:
+            slot, inside = above.pop()
+    if seen and varies and (text := _SPACE.sub(" ", "".join(now)).strip()):
+        blocks.append(text)
     return "\n".join(blocks)
 
 
-def read_page(html: str | None, tags: set[str], fixed: dict[tuple, set[int]] | None = None) -> str:
+def match_page(html: str | None, templates: list[tuple[bool, Slot]]) -> str:
+    """By the first template whose slots hold text on the page; its template texts stay only if there is nothing else."""
     if not html:
         return ""
-    found = main_text(html, tags, fixed or {})
-    return found if found or not tags and not fixed else main_text(html, set(), {})
-
-
-def match_page(html: str | None, templates: list[tuple[set, dict]]) -> str:
-    """By the first template whose elements hold text on the page; its template texts stay only if there is nothing else."""
-    if not html:
-        return ""
-    for tags, fixed in templates:
-        found = main_text(html, tags, fixed) or (main_text(html, tags, {}) if fixed else "")
+    for _, root in templates:
+        found = main_text(html, root) or main_text(html, root, fixed=False)
         if found:
             return found
-    return read_page(html, set())
+    return main_text(html, None)
 
 
 # ---------------------------------------------------------------- distribution
@@ -453,9 +522,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def template_of(nodes: list) -> str:
-    names = {x[1] for x in nodes if x[0] == "<"}
-    return next((t for tags in (MAIN_TAGS, SECOND_TAGS) for t in sorted(tags & names)), "")
+_STARTS = [(t, re.compile(rf"<{t}\b", re.I)) for t in MAIN_TAGS]
+
+
+def template_of(html: str) -> str:
+    return next((t for t, start in _STARTS if start.search(html)), "")
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -465,31 +536,23 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def local(batches):
         import pandas as pd
 
-        held: dict[tuple[str, str], dict[str, list]] = {}  # by shape
+        held: dict[tuple[str, str], list] = {}
         seen: set[int] = set()
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"]):
                 key = hash((host, page))
-                if key in seen:  # copies are no evidence of a template
+                if not page or key in seen:
                     continue
                 seen.add(key)
-                s = stream(page or "")
-                group = (host, template_of(s))
-                s = fold(s)
-                shape = json.dumps(s)
-                known = held.setdefault(group, {})
-                known[shape] = unite(known[shape], s, True) if shape in known else s
-                if len(known) > SHAPES:
-                    w = reduce(align, known.values())
-                    held[group] = {json.dumps(w): w}
+                group, own = (host, template_of(page)), page_tree(page)
+                held[group] = merged([held[group], own]) if group in held else own
         if held:
-            wrappers = [dump(reduce(align, known.values())) for known in held.values()]
-            yield pd.DataFrame({"host": [h for h, _ in held], "template": [t for _, t in held], "wrapper": wrappers})
+            yield pd.DataFrame({"host": [h for h, _ in held], "template": [t for _, t in held], "wrapper": [dump(w) for w in held.values()]})
 
     def merge(pdf):
         import pandas as pd
 
-        out = reduce(align, map(load, sorted(set(pdf["wrapper"]))))
+        out = merged(map(load, sorted(set(pdf["wrapper"]))))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]], "wrapper": [dump(out)]})
 
     parts = pages.select("host", "html").mapInPandas(local, schema)
@@ -503,18 +566,13 @@ def extract(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
 
-    def decide(batches):
+    def judge(batches):
         for pdf in batches:
-            found = [load(w) for w in pdf["wrapper"]]
-            yield frame({"host": pdf["host"].to_numpy(), "model": [json.dumps([sorted(content_tags(w)), template_texts(w)]) for w in found]})
-
-    def parse(models) -> list[tuple[set, dict]]:
-        made = sorted(map(json.loads, models), key=lambda m: (not m[0], m[0]))  # articles, main elements, whole pages
-        return [(set(tags), {tuple((name, tuple(words)) for name, words in path): set(same) for path, same in fixed}) for tags, fixed in made]
+            yield frame({"host": pdf["host"].to_numpy(), "template": pdf["template"].to_numpy(), "model": [dump_slots(load(w)) for w in pdf["wrapper"]]})
 
     wrappers = scratch.table(infer_wrappers(rows), "wrappers")
-    models = wrappers.mapInPandas(decide, "host string, model string")
-    models = scratch.table(models.groupBy("host").agg(F.collect_list("model").alias("models")), "models")
+    models = wrappers.mapInPandas(judge, "host string, template string, model string")
+    models = scratch.table(models.groupBy("host").agg(F.collect_list(F.struct("template", "model")).alias("models")).select("host", F.transform(F.array_sort("models"), lambda m: m["model"]).alias("models")), "models")
 
     def run(batches):
         known: dict[tuple, list] = {}
@@ -523,7 +581,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for page, m in zip(pdf["html"], pdf["models"]):
                 m = () if m is None else tuple(m)
                 if m not in known:
-                    known[m] = parse(m)
+                    if len(known) >= 1024:
+                        known.clear()
+                    known[m] = sorted(map(load_slots, m), key=lambda x: not x[0])  # articles and main elements first
                 text.append(match_page(page, known[m]))
             yield frame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
