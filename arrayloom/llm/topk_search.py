@@ -6,13 +6,15 @@ For each pair of a query block and a candidate block, the terms are taken one at
 term's postings is scattered into a dense array of scores (queries x candidates of the block). A partition selection
 keeps each query's k best of the block, and the blocks' winners are merged by score, then least vec_id.
 
-Candidates and queries move once for each block of the other side, so with c candidate blocks a query row is copied c
-times; a task holds one candidate block and one query block, both of fixed size.
+Candidate blocks meet groups of `GROUP` query blocks: rows are dealt by (candidate block, query group) and sorted so that the
+candidates come first. A task builds the index once for each such cell and streams the group's query blocks past it, so it
+holds one index and one Arrow batch of queries, both of bounded size, and a candidate block moves once for each group.
 
 Defined cases: a vector that is null, or holds null or non-finite components, takes no part; an empty vector scores 0;
 vectors of different lengths are compared as if padded by zeros; equal vectors tie by vec_id; rows that repeat a vec_id
-are candidates each, and none is a candidate of a query with that vec_id; null vec_ids take no part; other columns are
-ignored; fewer than k candidates give all of them.
+are candidates each, and none is a candidate of a query with that vec_id; query rows that repeat a vec_id are one query with
+several vectors: its k best scores over all of them are returned (equal rows count once); null vec_ids take no part; other
+columns are ignored; fewer than k candidates give all of them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import Scratch, read_table
 
 BLOCK = 8192  #: candidates in a block
 QUERIES = 256  #: queries in a block
+GROUP = 16  #: query blocks that share an index
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -81,10 +84,11 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = B
     scratch = Scratch(spark, "top-k")
     queries, candidates = scratch.table(queries, "queries"), scratch.table(candidates, "candidates")
     nc, nq = max(1, math.ceil(candidates.count() / block)), max(1, math.ceil(queries.count() / query_block))
-    c = candidates.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nc))).groupBy("cb").agg(F.collect_list(F.struct("id", "v")).alias("c"))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(nq))).groupBy("qb").agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    c, q = scratch.table(c.select("cb", F.col("c.id").alias("c_id"), F.col("c.v").alias("c_v")), "c"), scratch.table(q.select("qb", F.col("q.id").alias("q_id"), F.col("q.v").alias("q_v")), "q")
-    cells = q.select("qb", "q_id", "q_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("cb"))
+    dealt = lambda df, salt, n: df.groupBy(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("e"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    c = scratch.table(dealt(candidates, 1, nc), "candidate-blocks").select(F.col("b").alias("cb"), up_to(math.ceil(nq / GROUP)).alias("qg"), F.lit(0).alias("kind"), F.col("e.id").alias("ids"), F.col("e.v").alias("vs"))
+    q = scratch.table(dealt(queries, 2, nq), "query-blocks").select(up_to(nc).alias("cb"), F.floor(F.col("b") / GROUP).alias("qg"), F.lit(1).alias("kind"), F.col("e.id").alias("ids"), F.col("e.v").alias("vs"))
+    cells = c.unionByName(q).repartition("cb", "qg").sortWithinPartitions("cb", "qg", "kind")
 
     def run(batches):
         import pandas as pd
@@ -92,17 +96,20 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = B
         at, index = None, None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if at != r.cb:
-                    at, index = r.cb, Postings(np.asarray(r.c_id, np.int64), list(r.c_v))
-                rows = [np.asarray(v, np.int64) for v in r.q_v]
+                if r.kind == 0:
+                    at, index = (r.cb, r.qg), Postings(np.asarray(r.ids, np.int64), list(r.vs))
+                    continue
+                if at != (r.cb, r.qg):  # queries without candidates
+                    continue
+                rows = [np.asarray(v, np.int64) for v in r.vs]
                 out = []
                 for i in range(0, len(rows), 16):
-                    for own, s in zip(r.q_id[i : i + 16], index.scores(rows[i : i + 16])):
+                    for own, s in zip(r.ids[i : i + 16], index.scores(rows[i : i + 16])):
                         ids, s = best(s, index.ids, int(own), k)
                         out.append(pd.DataFrame({"query_id": int(own), "vec_id": ids, "score": s}))
                 yield pd.concat(out, ignore_index=True)
 
-    found = cells.join(c, "cb").select("cb", "c_id", "c_v", "q_id", "q_v").mapInPandas(run, "query_id long, vec_id long, score long")
+    found = cells.mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
