@@ -49,19 +49,20 @@ def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     full = base.select("doc_id", F.length("_t").cast("long").alias("n_cp"), normalised(F.col("_t")).alias("norm"))
     digests = scratch.table(full.select("doc_id", "n_cp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digests")
     repeated = scratch.table(digests.groupBy("sha").count().where("count > 1").select("sha"), "repeated")
-    # Rows whose digest occurs once are alone; only the others' texts move, dealt by doc_id (no hot key).
-    ids = scratch.table(digests.join(repeated, "sha", "left_semi").select("doc_id"), "ids")
-    mates = full.join(ids, full["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    mates = mates.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "norm", _rank().alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    # Rows whose digest occurs once are alone; only the others' texts move, dealt by doc_id and digest.
+    ids = scratch.table(digests.join(repeated, "sha", "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "ids")
+    mates = full.withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    mates = mates.join(ids, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    mates = mates.select("sha", "norm", _rank().alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     salted = mates.groupBy("sha", "norm", "salt").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))
     groups = salted.groupBy("sha", "norm").agg(F.max("w").alias("w"), F.sum("n").alias("n")).select("sha", _keep(F.col("w")).alias("keep"), F.col("n").alias("n"), "norm")
-    groups = scratch.table(groups.where("n > 1 or keep is null").select("sha", "keep", "n", F.xxhash64("norm").alias("check")), "groups")
+    groups = scratch.table(groups.where("n > 1 or keep is null"), "groups")
     clash = groups.groupBy("sha").count().where("count > 1").limit(1).count()
+    every, some = F.sequence(F.lit(0), F.lit(salts - 1)), F.pmod(F.xxhash64("doc_id", "n_cp"), F.lit(salts)).cast("int")
     if clash:  # two contents under one digest: assign by content
-        found = full.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("check", F.xxhash64("norm")).drop("norm")
-        found = found.join(groups, ["sha", "check"], "left")
-    else:
-        found = digests.join(groups, "sha", "left")
+        found = full.withColumn("sha", F.unhex(F.sha2("norm", 256))).join(groups, ["sha", "norm"], "left")
+    else:  # a group meets its members under each salt, so that no key has all members of a large one
+        found = digests.withColumn("salt", some).join(groups.select("sha", "keep", "n", F.explode(every).alias("salt")), ["sha", "salt"], "left")
     keep = F.coalesce(F.col("keep"), F.col("doc_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
