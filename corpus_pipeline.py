@@ -16,6 +16,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space: rows with a doc_id first, then the longest, then the least doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -30,6 +31,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of at most 2,048 tokens, with its sequence and offset; repeated documents are packed as often as they come."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
