@@ -7,8 +7,9 @@ residual (in the metric that weighs documents by tokens), so a document's rate f
 list of steps taken; only domain totals and one domains x domains matrix reach the driver. The
 matrix, over the documents whose rate is above 0, preconditions the step.
 
-The classifier is softmax regression over sparse features (style of the text, words and word prefixes), fitted on at
-most `SAMPLE` labelled rows and `FEATURES` features for each domain.
+The classifier is softmax regression over sparse features: style of the text, words and word prefixes; a word that
+occurs k times weighs 1 + ln k. It is fitted on at most `SAMPLE` labelled rows (a documented bound), with every feature that at least
+`SUPPORT` of these rows have and whose log odds for a domain are over 1 and over `SIGNIFICANT` standard errors.
 
 Decision: copies = floor(rate), plus one where a hash of doc_id falls under the fraction.
 
@@ -19,25 +20,26 @@ others are rescaled; rows that repeat a doc_id get the same rate; null doc_ids g
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
+from math import log
 from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frame, read_table
+from .common import Scratch, frame, read_table, worker_state
 
 SAMPLE = 10_000
-FEATURES = 2_048
 SUPPORT = 5
+SIGNIFICANT = 4.0
 STEPS = 60
 TOLERANCE = 1e-6
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
-CAP = 8  #: a word counts this often at most
-CACHED = 300_000
+CACHED = 300_000  #: words whose weights a worker keeps
 
 # Byte tables: ASCII characters that aren't letters part words; capitals and marks are counted by deleting all other bytes.
 _PARTS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -51,36 +53,36 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("domain is not null")
 
 
-def measure(text: str | None) -> tuple[int, list[str], set[str], list[str]]:
-    """Number of tokens, the words, the different words, and the style features of a text."""
+def measure(text: str | None) -> tuple[int, Counter, list[str]]:
+    """Number of tokens, the words with their counts, and the style features of a text."""
     text = text or ""
     tokens = text.split()
     n = len(tokens)
     words = text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).decode("utf-8", "surrogatepass").split()
-    distinct = set(words)
+    counts = Counter(words)
     if not n:
-        return 0, words, distinct, []
+        return 0, counts, []
     letters, raw = len("".join(words)), text.encode("utf-8", "surrogatepass")
     shares = {
         "letters": letters / len(text),
         "capital": len(raw.translate(None, _NOT_CAPITAL)) / max(1, letters),
-        "distinct": len(distinct) / n,
+        "distinct": len(counts) / n,
         "next": sum(map(eq, tokens, tokens[1:])) / n,
         "marks": len(raw.translate(None, _NOT_MARK)) / n,
     }
-    return n, words, distinct, [f"={k}:{min(9, int(10 * x))}" for k, x in shares.items()]
+    return n, counts, [f"={k}:{min(9, int(10 * x))}" for k, x in shares.items()]
 
 
 def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
 
 
-def features(text: str | None) -> Counter:
-    _, words, _, style = measure(text)
-    out = Counter(style)
-    for w, k in Counter(words).items():
+def features(text: str | None) -> dict[str, float]:
+    _, counts, style = measure(text)
+    out = dict.fromkeys(style, 1.0)
+    for w, k in counts.items():
         for f in word_features(w):
-            out[f] += min(k, CAP)
+            out[f] = out.get(f, 0.0) + 1 + log(k)
     return out
 
 
@@ -89,34 +91,31 @@ class Softmax:
     domains: list[str]
     weights: dict[str, np.ndarray]
     bias: np.ndarray
-    light: set[str] = field(default_factory=set, repr=False)  #: words known to have no weight
-    heavy: dict[str, np.ndarray] = field(default_factory=dict, repr=False)  #: words with the weights of all their features
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __getstate__(self):
-        return {"domains": self.domains, "weights": self.weights, "bias": self.bias, "light": set(), "heavy": {}}
-
-    def posterior(self, words: list[str], distinct: set[str], style: list[str]) -> np.ndarray:
+    def posterior(self, counts: Counter, style: list[str]) -> np.ndarray:
+        light, heavy = worker_state("mixing", self.key, lambda: (set(), {}))  # words without weight; words with the weights of all their features
         z = self.bias.copy()
         for f in style:
             if f in self.weights:
                 z += self.weights[f]
-        if len(self.light) + len(self.heavy) > CACHED:
-            self.light.clear()
-            self.heavy.clear()
-        for word in distinct.difference(self.light):
-            w = self.heavy.get(word)
+        if len(light) + len(heavy) > CACHED:
+            light.clear()
+            heavy.clear()
+        for word in counts.keys() - light:
+            w = heavy.get(word)
             if w is None:
                 held = [self.weights[f] for f in word_features(word) if f in self.weights]
                 if not held:
-                    self.light.add(word)
+                    light.add(word)
                     continue
-                w = self.heavy[word] = np.sum(held, axis=0)
-            z += w * min(words.count(word), CAP)
+                w = heavy[word] = np.sum(held, axis=0)
+            z += w * (1 + log(counts[word]))
         z = np.exp(z - z.max())
         return z / z.sum()
 
 
-def fit_softmax(rows: list[tuple[list[str], list[int]]], y: np.ndarray, domains: list[str], names: list[str], steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> Softmax:
+def fit_softmax(rows: list[tuple[list[str], list[float]]], y: np.ndarray, domains: list[str], names: list[str], steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> Softmax:
     index = {f: i for i, f in enumerate(names)}
     r = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     c = np.array([index[f] for fs, _ in rows for f in fs], np.int64)
@@ -138,7 +137,7 @@ def fit_softmax(rows: list[tuple[list[str], list[int]]], y: np.ndarray, domains:
     return Softmax(domains, {f: w[i] for f, i in index.items()}, b)
 
 
-def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Softmax:
+def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Softmax:
     """From labelled(doc_id, domain)."""
     scratch = Scratch(docs.sparkSession, "mixing-classifier")
     total = labelled.count()
@@ -165,10 +164,10 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int
     everything = sum(sizes.values())
     names = set()
     for i, d in enumerate(domains):
-        inside = F.log((F.col(f"k{i}") + 0.5) / sizes[d])
-        outside = F.log((F.col("all") - F.col(f"k{i}") + 0.5) / (everything - sizes[d]))
-        top = counts.select("f", "all", (inside - outside).alias("odds")).where((F.col("odds") > 1) | F.col("f").startswith("=")).orderBy(F.desc("odds"), F.desc("all"), "f").limit(most)
-        names |= {r["f"] for r in top.select("f").collect()}
+        inside, outside = F.col(f"k{i}") + 0.5, F.col("all") - F.col(f"k{i}") + 0.5
+        odds = F.log(inside / sizes[d]) - F.log(outside / (everything - sizes[d]))
+        telling = (odds > 1) & (odds > SIGNIFICANT * F.sqrt(1 / inside + 1 / outside))
+        names |= {r["f"] for r in counts.where(telling | F.col("f").startswith("=")).select("f").collect()}
     kept = docs.sparkSession.sparkContext.broadcast(frozenset(names))
 
     def held(batches):
@@ -176,7 +175,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int
             found = [{f: k for f, k in features(t).items() if f in kept.value} for t in pdf["text"]]
             yield frame({"domain": pdf["domain"].to_numpy(), "f": [list(x) for x in found], "k": [list(x.values()) for x in found]})
 
-    examples = rows.mapInPandas(held, "domain string, f array<string>, k array<long>").collect()
+    examples = rows.mapInPandas(held, "domain string, f array<string>, k array<double>").collect()
     examples.sort(key=lambda r: (r["domain"], r["f"], r["k"]))
     y = np.array([domains.index(r["domain"]) for r in examples])
     return fit_softmax([(r["f"], r["k"]) for r in examples], y, domains, sorted(names))
@@ -190,9 +189,9 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
         for pdf in batches:
             n_tokens, p = [], []
             for t in pdf["text"]:  # a text's words go before the next text's come
-                n, words, distinct, style = measure(t)
+                n, counts, style = measure(t)
                 n_tokens.append(n)
-                p.append(shared.value.posterior(words, distinct, style).tolist())
+                p.append(shared.value.posterior(counts, style).tolist())
             yield frame({"doc_id": pdf["doc_id"], "n_tokens": n_tokens, "p": p})
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
