@@ -2,13 +2,16 @@
 
 Grades are ordered severities 0..3. A document's score is the sum, over its words, of shared feature weights; the chance of
 a grade above j is sigmoid(score - threshold[j]) with ordered thresholds. Features are words and their prefixes of 4 to
-6 letters (bad words are inflected), kept where they are over-represented in labelled toxic rows. Labels only say
-toxic or not: graded examples come from the number of such features in a labelled toxic row (its tertiles make grades 1
-to 3), so the thresholds order severity by dose.
+6 letters (bad words are inflected), kept where at least `SUPPORT` labelled toxic rows have them and their log odds are over `ODDS`
+and over `SIGNIFICANT` standard errors.
+
+Labels only say toxic or not, so severities of the training rows are made by cross-fitting: labelled rows are halved by
+a hash of doc_id, each half gives a lexicon of whole words that its toxic rows use more, and a toxic row's dose is
+how many of its words are in the *other* half's lexicon. Tertiles of the dose are grades 1 to 3: no row's grade comes from
+features that were chosen on that row.
 
 Fitting uses at most `SAMPLE` labelled rows (a documented bound; chosen by a hash of doc_id, every labelled row where there
-are fewer) and at most `FEATURES` features, so that all that reaches the driver is bounded. Scoring reads every whole
-text of every row.
+are fewer), so that all that reaches the driver is bounded. Scoring reads every whole text of every row.
 
 Defined cases: null or wordless text has no features and so the least severity; labels without a document, and null
 labels, teach nothing; without both kinds of label every severity is 0; a doc_id labelled twice counts twice; other
@@ -18,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -25,13 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frame, read_table
+from .common import Scratch, frame, read_table, worker_state
 
 SAMPLE = 20_000
-FEATURES = 8_192
 SUPPORT = 3
+ODDS = 2.0
+SIGNIFICANT = 2.0
 LEVELS = 3
-CACHED = 300_000
+CACHED = 300_000  #: words whose weights a worker keeps
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,25 +59,18 @@ class Ordinal:
 
     weights: dict[str, float]
     thresholds: np.ndarray
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {"weights": self.weights, "thresholds": self.thresholds, "known": {}}
-
-    def word(self, w: str) -> float:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            got = self.known[w] = sum(self.weights.get(f, 0.0) for f in word_features(w))
-        return got
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, text: str | None) -> float:
-        known, word = self.known, self.word
+        known = worker_state("toxicity", self.key, dict)
         total = 0.0
         for w in words(text):
             got = known.get(w)
-            total += word(w) if got is None else got
+            if got is None:
+                if len(known) >= CACHED:
+                    known.clear()
+                got = known[w] = sum(self.weights.get(f, 0.0) for f in word_features(w))
+            total += got
         return total
 
     def above(self, score: float) -> np.ndarray:
@@ -111,7 +109,7 @@ def fit(rows: list[Counter], grades: np.ndarray, features: list[str], levels: in
 
 
 def grade(hits: np.ndarray, toxic: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """0 for rows that aren't toxic; toxic rows by the quantiles of their number of feature words."""
+    """0 for rows that aren't toxic; toxic rows by the quantiles of their dose."""
     out = np.zeros(len(hits), np.int64)
     if toxic.any():
         edges = np.quantile(hits[toxic], np.arange(1, levels) / levels)
@@ -119,48 +117,63 @@ def grade(hits: np.ndarray, toxic: np.ndarray, levels: int = LEVELS) -> np.ndarr
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
     total = known.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1)))
     known = known.where(share)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(share)
-    rows = scratch.table(texts.join(known, "doc_id").select("text", "toxic"), "sample")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    rows = scratch.table(texts.join(known, "doc_id").select("text", "toxic", half.alias("half")), "sample")
 
     def presence(batches):
         for pdf in batches:
-            yes, no = Counter(), Counter()
-            for t, toxic in zip(pdf["text"], pdf["toxic"]):
-                (yes if toxic else no).update({f for w in set(words(t)) for f in word_features(w)})
-            both = list(yes.keys() | no.keys())
-            yield frame({"f": both, "yes": [yes[f] for f in both], "no": [no[f] for f in both]})
-
-    n_yes, n_no = rows.where("toxic").count(), rows.where("not toxic").count()
-    if not n_yes or not n_no:
+            seen = [Counter() for _ in range(4)]
+            for t, toxic, h in zip(pdf["text"], pdf["toxic"], pdf["half"]):
+                seen[2 * h + toxic].update({f for w in set(words(t)) for f in word_features(w)})
+            every = list(set().union(*seen))
+            yield frame({"f": every, **{f"n{k}": [c[f] for f in every] for k, c in enumerate(seen)}})
+
+    size = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    of = lambda toxic, *halves: sum(size.get((h, toxic), 0) for h in halves)
+    if not of(True, 0, 1) or not of(False, 0, 1):
         return Ordinal({}, np.full(LEVELS, np.inf))
-    counts = rows.mapInPandas(presence, "f string, yes long, no long").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    odds = F.log((F.col("yes") + 0.5) / n_yes) - F.log((F.col("no") + 0.5) / n_no)
-    chosen = counts.where(F.col("yes") >= SUPPORT).withColumn("odds", odds).where("odds > 2").orderBy(F.desc("odds"), F.desc("yes"), "f").limit(most)
-    features = sorted(r["f"] for r in chosen.select("f").collect())
+    counts = rows.mapInPandas(presence, "f string, n0 long, n1 long, n2 long, n3 long").groupBy("f").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    counts = scratch.table(counts.where("n1 + n3 > 0"), "counts")
+
+    def telling(*halves):
+        yes, no = (sum((F.col(f"n{2 * h + k}") for h in halves), F.lit(0.5)) for k in (1, 0))
+        odds = F.log(yes / max(of(True, *halves), 1)) - F.log(no / max(of(False, *halves), 1))
+        return (yes > SUPPORT) & (odds > ODDS) & (odds > SIGNIFICANT * F.sqrt(1 / yes + 1 / no))
+
+    chosen = counts.select("f", telling(0, 1).alias("all"), telling(0).alias("one"), telling(1).alias("two")).where("all or one or two").collect()
+    features = sorted(r["f"] for r in chosen if r["all"])
     if not features:
         return Ordinal({}, np.full(LEVELS, np.inf))
-    inside = docs.sparkSession.sparkContext.broadcast(frozenset(features))
+    lexicons = [frozenset(r["f"] for r in chosen if r[half] and not r["f"].endswith("*")) for half in ("two", "one")]  # of the other half
+    inside = docs.sparkSession.sparkContext.broadcast((frozenset(features), lexicons))
 
-    def hits(batches):
+    def examples(batches):
         for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                held = Counter(f for w in words(t) for f in word_features(w) if f in inside.value)
-                out.append((list(held.keys()), list(held.values())))
-            yield frame({"toxic": pdf["toxic"].to_numpy(), "f": [x[0] for x in out], "n": [x[1] for x in out]})
-
-    # A row with no feature only counts: it is the same example however often it comes.
-    held = rows.mapInPandas(hits, "toxic boolean, f array<string>, n array<long>").groupBy("toxic", "f", "n").count().orderBy("toxic", F.size("f"), "f", "n").collect()
-    examples = [(Counter(dict(zip(r["f"], r["n"]))), r["toxic"]) for r in held for _ in range(r["count"])]
-    toxic = np.array([t for _, t in examples], bool)
-    dose = np.array([sum(n for f, n in c.items() if not f.endswith("*")) + sum(n for f, n in c.items() if f.endswith("*")) for c, _ in examples])
-    return fit([c for c, _ in examples], grade(dose, toxic), features)
+            kept, other = inside.value
+            held, dose = [], []
+            for t, h in zip(pdf["text"], pdf["half"]):
+                n = Counter(words(t))
+                found = Counter()
+                for w, k in n.items():
+                    for f in word_features(w):
+                        if f in kept:
+                            found[f] += k
+                held.append(found)
+                dose.append(sum(k for w, k in n.items() if w in other[h]))
+            yield frame({"toxic": pdf["toxic"].to_numpy(), "f": [list(x) for x in held], "n": [list(x.values()) for x in held], "dose": dose})
+
+    held = rows.mapInPandas(examples, "toxic boolean, f array<string>, n array<long>, dose long").groupBy("toxic", "f", "n", "dose").count().collect()
+    held.sort(key=lambda r: (r["toxic"], r["dose"], r["f"], r["n"]))
+    held = [(Counter(dict(zip(r["f"], r["n"]))), r["toxic"], r["dose"]) for r in held for _ in range(r["count"])]
+    toxic, dose = np.array([t for _, t, _ in held], bool), np.array([d for _, _, d in held])
+    return fit([c for c, _, _ in held], grade(dose, toxic), features)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
