@@ -19,6 +19,11 @@ rounds, so this operator keeps the scheme but thins out positions without losing
 Groups are only ever counted (map-side combined) and joined with counts; a passage that a third of all documents share
 is one key of those counts. Texts that have any repeated anchor are read once more behind a fixed-size filter.
 
+Beside the removal at `least` bytes, which the contract fixes, the operator tells which documents hold a passage of more than
+`PASSAGE` words that another document holds too (whatever its bytes: short words make such passages shorter than 400 bytes).
+The same scheme runs over words instead of bytes: anchors are word grams, ranked by gram, then by all windows of an anchor
+together, then, for texts that these leave undecided, window by window.
+
 Defined cases: null text is empty; texts under `least` bytes lose nothing; equal texts, also under one doc_id, count as
 separate occurrences; invalid surrogates are kept as bytes; other columns are ignored; matches never cross documents.
 """
@@ -36,6 +41,8 @@ from .common import Scratch, frame, hasher, id_filter, in_filter, mix, read_tabl
 LEAST = 400
 GRAM = 128
 WIDTHS = (91, 13, 1)
+PASSAGE = 50  #: words; longer passages that documents share are told
+WORD_GRAM = 16
 
 KEY = ["fp", "n"]
 
@@ -80,6 +87,10 @@ def blocks(sums: np.ndarray, n: int, q: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return of, common.view(np.int64), whole.view(np.int64), np.maximum(lo[of], u), np.minimum(hi[of], v)
 
 
+_white = np.zeros(256, bool)
+_white[[9, 10, 11, 12, 13, 32]] = True
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).select(F.xxhash64("text").alias("fp"), F.octet_length("text").cast("long").alias("n"), "text")
 
@@ -178,8 +189,69 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram:
     return spans.select(*KEY, F.col("x.s").alias("starts"), F.col("x.e").alias("stops")), texts
 
 
+def word_sums(text: str) -> np.ndarray:
+    """Prefix sums over the fingerprints of a text's words."""
+    data = _bytes(text)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _white[data], [True])).astype(np.int8)))
+    h = hasher()
+    words = h.span(h.sums(data), edge[0::2], edge[1::2])
+    h.grow(len(words) + 1)
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * h.power[: len(words)], out=out[1:])
+    return out
+
+
+def sharing(docs: DataFrame, scratch: Scratch, words: int = PASSAGE + 1, gram: int = WORD_GRAM) -> DataFrame:
+    """fp: the distinct texts with a run of `words` words or more that another document has too."""
+    texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+
+    def anchors(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            parts = []
+            for doc, fp, text in zip(pdf["doc"], pdf["fp"], pdf["text"]):
+                sums = word_sums(text)
+                q, name, first, last = sampled(sums[1:], sums, words, gram)
+                if len(q):
+                    whole = hasher().span(sums, first, last + words)
+                    parts.append(pd.DataFrame({"gram": name.view(np.int64), "whole": mix(whole ^ (q - first).astype(np.uint64)).view(np.int64), "doc": doc, "fp": fp}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    def several(df, key):
+        return df.groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("up")).where("lo <> up").select(key)
+
+    rows = scratch.table(texts.mapInPandas(anchors, "gram long, whole long, doc long, fp long"), "word-anchors")
+    rows = scratch.table(rows.join(scratch.table(several(rows, "gram"), "word-grams"), "gram", "left_semi"), "word-rank-0")
+    scratch.drop("word-anchors")
+    found = scratch.table(rows.join(scratch.table(several(rows, "whole"), "word-wholes"), "whole", "left_semi").select("fp").distinct(), "word-found")
+    left = scratch.table(rows.join(found, "fp", "left_anti").select("gram").distinct(), "word-left")
+    wanted = scratch.table(rows.select("gram", "fp").distinct().join(left, "gram", "left_semi"), "word-wanted")
+    table = docs.sparkSession.sparkContext.broadcast((id_filter(wanted, "fp"), id_filter(left, "gram")))
+
+    def windows(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            pdf, parts = pdf[in_filter(table.value[0], pdf["fp"].to_numpy())], []
+            for doc, fp, text in zip(pdf["doc"], pdf["fp"], pdf["text"]):
+                sums = word_sums(text)
+                q, name, first, last = sampled(sums[1:], sums, words, gram)
+                open_ = in_filter(table.value[1], name.view(np.int64))
+                many = last[open_] - first[open_] + 1
+                at = np.arange(many.sum()) + np.repeat(first[open_] - np.cumsum(many) + many, many)
+                parts.append(pd.DataFrame({"window": hasher().span(sums, at, at + words).view(np.int64), "doc": doc, "fp": fp}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    last = scratch.table(texts.mapInPandas(windows, "window long, doc long, fp long"), "word-windows")
+    again = last.join(scratch.table(several(last, "window"), "word-again"), "window", "left_semi").select("fp").distinct()
+    return scratch.table(found.union(again).distinct(), "word-sharing")
+
+
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, widths=WIDTHS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (starts, stops) of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed runs (starts, stops) and shares_passage (1 or 0) of each document."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     spans, texts = repeated_spans(docs, scratch, least, gram, widths)
 
@@ -202,8 +274,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, widths
     each = each.select("doc_id", F.xxhash64("text").alias("fp"), F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("all"))
     none = F.array().cast("array<long>")
     zero = F.lit(0).cast("long")
-    return each.join(cut, KEY, "left").select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"))
+    shared = sharing(docs, scratch).withColumn("shares_passage", F.lit(1))
+    each = each.join(cut, KEY, "left").join(shared, "fp", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
+    return each.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"), "shares_passage")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage")
