@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import geometric_mean
+from ..plans.lineage import cut
 
 
 def load_results(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
@@ -88,7 +89,7 @@ def batch(items: DataFrame, batches: int, order: str) -> DataFrame:
     """
     n = items.count()
     size = -(-n // batches) if n else 1
-    parts = items.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    parts = cut(items.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))  # both uses see the same parts
     w = Window.partitionBy("_part").orderBy(order)
     counts = parts.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
