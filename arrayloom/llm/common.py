@@ -11,26 +11,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 WHITE = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  #: of an Arrow batch: long texts come in batches of fewer rows
 
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="arrayloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder all executors share (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+    found = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return found
 
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds the session's Arrow batches."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -99,6 +103,19 @@ def frame(columns: dict):
     return pd.DataFrame({k: pd.Series(v, dtype=object) if isinstance(v, list) else v for k, v in columns.items()})
 
 
+# ---------------------------------------------------------------- state of worker processes
+_state: dict[str, tuple] = {}
+
+
+def worker_state(owner: str, key, make):
+    """What an operator keeps from task to task in a reused worker process: one value, dropped as soon as another operator keeps one."""
+    held = _state.get(owner)
+    if held is None or held[0] != key:
+        _state.clear()
+        held = _state[owner] = (key, make())
+    return held[1]
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public-domain murmur3 constants), element by element."""
@@ -140,15 +157,9 @@ class ByteHasher:
         return mix((sums[stop] - sums[start]) * self.unpower[start] + (stop - start).astype(np.uint64))
 
 
-_hasher: ByteHasher | None = None
-
-
 def hasher() -> ByteHasher:
     """One hasher for each worker process."""
-    global _hasher
-    if _hasher is None:
-        _hasher = ByteHasher()
-    return _hasher
+    return worker_state("hasher", None, ByteHasher)
 
 
 # ---------------------------------------------------------------- fixed-size filters

@@ -18,15 +18,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, worker_state
 
 DIMENSIONS = 1024
 SEED = 11
 WEIGHT = 1 << 24  #: of one text in its language's bundle
 CACHED = 40_000  #: trigram vectors kept in each worker (1 byte a dimension)
+LETTERS = 4_096  #: letter vectors kept in each worker
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -56,37 +58,46 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Space:
-    """Vectors of letters and trigrams."""
+    """Vectors of letters and trigrams. Trigram vectors are kept in a buffer that doubles; `codes` is sorted, `at` has their places in it."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         self.d, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
-        self.codes, self.rows = np.zeros(0, np.uint64), np.zeros((0, dimensions), np.int8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = np.empty((1024, self.d), np.int8)
 
     def letter(self, cp: int) -> np.ndarray:
         if cp not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
             rng = np.random.Generator(np.random.PCG64([self.seed, cp]))
             self.letters[cp] = rng.integers(0, 2, self.d, dtype=np.int8) * np.int8(2) - np.int8(1)
         return self.letters[cp]
 
-    def bind(self, codes: np.ndarray) -> np.ndarray:
+    def bind(self, codes: np.ndarray, out: np.ndarray) -> None:
         low = (1 << 21) - 1
-        out = np.empty((len(codes), self.d), np.int8)
         for i, c in enumerate(codes.tolist()):
             out[i] = np.roll(self.letter(c >> 42), 2) * np.roll(self.letter(c >> 21 & low), 1) * self.letter(c & low)
-        return out
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         """int8 rows of the sorted, distinct codes."""
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
             if len(self.codes) + len(new) > CACHED:
-                self.codes, self.rows = np.zeros(0, np.uint64), np.zeros((0, self.d), np.int8)
+                self.clear()
                 new = codes
-            made = np.concatenate((self.codes, new))
-            order = np.argsort(made, kind="stable")
-            self.codes, self.rows = made[order], np.concatenate((self.rows, self.bind(new)))[order]
-        return self.rows[np.searchsorted(self.codes, codes)]
+            n, m = len(self.codes), len(self.codes) + len(new)
+            if m > len(self.rows):
+                grown = np.empty((max(m, min(CACHED, 2 * len(self.rows))), self.d), np.int8)
+                grown[:n] = self.rows[:n]
+                self.rows = grown
+            self.bind(new, self.rows[n:m])
+            place = np.searchsorted(self.codes, new)
+            self.codes, self.at = np.insert(self.codes, place, new), np.insert(self.at, place, np.arange(n, m))
+        return self.rows[self.at[np.searchsorted(self.codes, codes)]]
 
     def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         total = np.zeros(self.d)
@@ -101,11 +112,8 @@ class Space:
         return total
 
 
-_spaces: dict[tuple[int, int], Space] = {}
-
-
 def space(dimensions: int, seed: int) -> Space:
-    return _spaces.setdefault((dimensions, seed), Space(dimensions, seed))
+    return worker_state("language_id", (dimensions, seed), lambda: Space(dimensions, seed))
 
 
 @dataclass
@@ -120,10 +128,7 @@ class Model:
         if not len(codes) or not self.languages:
             return UNKNOWN, 0.0
         v = space(self.dimensions, self.seed).text(codes, counts)
-        norm = float(np.linalg.norm(v))
-        if not norm:
-            return UNKNOWN, 0.0
-        cosine = self.prototypes @ v / norm
+        cosine = (self.prototypes * v).sum(axis=1) / max(float(np.linalg.norm(v)), 1e-12)  # row by row, so that equal prototypes tie
         best = int(np.argmax(cosine))
         return self.languages[best], float(min(1.0, max(0.0, cosine[best])))
 
@@ -136,8 +141,6 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", dimensio
     """Prototypes from all rows that have a label and a letter."""
 
     def bundles(batches):
-        import pandas as pd
-
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         out: dict[str, np.ndarray] = {}
 
@@ -172,23 +175,22 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", dimensio
     return Model(languages, (table / np.where(norms == 0, 1, norms)).astype(np.float32), dimensions, seed)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with lang_pred and score."""
-    from pyspark.sql import types as T
+def predictor(spark: SparkSession, model: Model):
+    """A column function: text -> (lang_pred, score). Only the text goes to Python, and only the answer comes back."""
+    shared = spark.sparkContext.broadcast(model)
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    alone = text not in keep
-    chosen = docs.select(*[docs[c] for c in keep], *([docs[text].cast("string").alias("_text_in")] if alone else []))
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
+
+    return predict
 
-    def run(batches):
-        m = shared.value
-        for pdf in batches:
-            found = [m.predict(t) for t in (pdf.pop("_text_in") if alone else pdf[text])]
-            pdf["lang_pred"], pdf["score"] = [x[0] for x in found], [x[1] for x in found]
-            yield pdf
 
-    fields = [f for f in chosen.schema.fields if f.name != "_text_in"]
-    return chosen.mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns with lang_pred and score."""
+    found = predictor(docs.sparkSession, model)(docs[text].cast("string"))
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], found.alias("found"))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "found.lang_pred", "found.score")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
@@ -202,17 +204,12 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     Without a label to learn from, all documents with a letter stay.
     """
-    model = train(docs.where(~held_out(F.col("doc_id"))))
-    if not model.languages:
-        at = docs.columns.index("text")
-
-        def lettered(batches):
-            for pdf in batches:
-                yield pdf[[len(trigrams(t)[0]) > 0 for t in pdf["_text_in"]]].drop(columns="_text_in")
-
-        inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-        found = inner.withColumn("_text_in", F.col(f"c{at}").cast("string")).mapInPandas(lettered, inner.schema)
-        return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    found = identify(inner, model, inner.columns, f"c{docs.columns.index('text')}").where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    model = train(docs.where(~held_out(docs["doc_id"])))
+    if model.languages:
+        return docs.where(predictor(docs.sparkSession, model)(docs["text"].cast("string"))["lang_pred"] != UNKNOWN)
+
+    @F.pandas_udf("boolean")
+    def lettered(text: pd.Series) -> pd.Series:
+        return pd.Series([len(trigrams(t)[0]) > 0 for t in text], dtype=bool)
+
+    return docs.where(lettered(docs["text"].cast("string")))

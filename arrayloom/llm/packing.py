@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, read_table, worker_state
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -132,13 +132,8 @@ class Encoder:
 #: ASCII marks but ' and <: after letters they are a word of their own (' starts contractions, < special tokens).
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_state("packing", path, lambda: Encoder(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
