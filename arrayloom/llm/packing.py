@@ -28,9 +28,9 @@ from .common import Scratch, read_table, worker_state
 CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 3
+EPOCHS = 3
+GENERATIONS = 12
+POPULATION = 6
 CACHED = 700_000  #: chunks whose ids a worker keeps from one batch to the next
 WELL_FILLED = 0.98  #: pieces of bins under this are pooled over blocks once
 
