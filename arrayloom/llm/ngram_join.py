@@ -14,9 +14,10 @@ only if at most e = n - ceil(t n) of its tokens are missing from the other set.
   unshared + rare + sum over sub-classes of (tokens - 1) >= e + 1, so two sets that link share a signature.
   The number of sub-classes depends on the size band; sets close to a band's lower edge emit for both bands.
 * Candidates. Within a signature all holders are first verified against one hub, the holder with the smallest share of
-  rare tokens. Classes linked so far are merged; then, for signatures whose holders are still in several components,
-  the holders outside the hub's component are verified against the holders of other components, so no link is lost and
-  pairs inside a component are never made. Sizes and the numbers of unshared tokens rule out pairs beforehand.
+  rare tokens; then the hub is done. Classes linked so far are merged, and signatures whose other holders are still in several
+  components get a new hub among them, round after round, until the pairs left between components are few for the size of the
+  index, or a round doesn't halve them. What is left then is paired within bands of size, so no link is lost and pairs
+  inside a component are never made. Sizes, the numbers of unshared tokens and parity bits rule out pairs before they are verified.
 * Verification compares whole token sets.
 
 Hot signatures are only met in grouped minima and in joins of written tables, which adaptive execution can split.
@@ -24,13 +25,15 @@ Fingerprints of 64 bits name tokens, and class ids are the first 8 of 16 digest
 digests share an id.
 
 Defined cases: null text is empty; a text with fewer words than a shingle is one token; empty token sets link with
-nothing; rows with a null doc_id are left out of the join and come back with a null component; rows that repeat a
-doc_id are documents each; other columns are ignored.
+nothing; rows that repeat a doc_id or have a null one are documents each; a component without any doc_id has a null id;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from functools import reduce
 from operator import add
 
@@ -42,6 +45,7 @@ from .common import Scratch, components, frame, hasher, id_filter, in_filter, mi
 
 WORDS = 16  #: 64-bit words of parity bits for each class
 RARE = 16  #: tokens that more classes hold are indexed in pairs
+SMALL = 128  #: pairs between components, for each row of the index, up to which all are compared by size and bits at once
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -237,8 +241,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE) -> DataFrame:
+def _bands(percent: int):
+    """Sets that can link are in the same band of sizes or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+
+
+def _rest(held: DataFrame, linked: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """Holders of signatures whose holders are in several components, with their root; how many pairs lie between components."""
+    comp = _components(linked, scratch, f"{name}-cc", rounds=2, partial=True)  # merged further at the end
+    label = held.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "share", F.coalesce("root", "cls").alias("root"))
+    label = scratch.table(label, f"{name}-label")
+    several = scratch.table(label.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("up")).where("lo <> up").select("sig"), f"{name}-several")
+    rest = scratch.table(label.join(several, "sig", "left_semi"), f"{name}-rest")
+    each = rest.groupBy("sig", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return rest, int(each.agg(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2).alias("pairs")).first()["pairs"] or 0)
+
+
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id for each document; two documents link at Jaccard >= percent / 100."""
+    if row_per_id(docs):
+        return _near_copies(docs, k, percent, rare, small)
+    scratch = Scratch(docs.sparkSession, "ngram-rows")
+    rows = numbered(docs, scratch)
+    found = _near_copies(rows.select(F.col("row").alias("doc_id"), "text"), k, percent, rare, small).withColumnsRenamed({"doc_id": "row", "component_id": "group"})
+    found = scratch.table(found.join(rows.select("row", "doc_id"), "row"), "found")
+    least = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "group").select("doc_id", "n_shingles", "component_id")
+
+
+def _near_copies(docs: DataFrame, k: int, percent: int, rare: int = RARE, small: int = SMALL) -> DataFrame:
+    """The same where every row has a doc_id of its own."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     scan = scratch.table(_scan(docs, k), "scan")
     cls = scratch.table(classes(scan), "classes")
@@ -251,41 +283,56 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE
     scratch.drop("shared")
     # The hub: the least share of rare tokens, then the least class id, as one number so that it is a plain grouped minimum.
     two64, half = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
-    share = F.least(F.lit(127), F.floor((F.col("rare") + F.col("alone")) * 127 / F.col("n"))).cast("decimal(3,0)")
-    hubs = held.groupBy("sig").agg(F.min(share * two64 + (F.col("cls").cast("decimal(20,0)") + half)).alias("h"), F.min("cls").alias("lo"), F.max("cls").alias("up")).where("lo <> up")
-    hubs = scratch.table(hubs.select("sig", (F.col("h") % two64 - half).cast("long").alias("hub")), "hubs")
-    held = scratch.table(held.join(hubs, "sig").select("sig", "cls", "n", "alone", "hub"), "held")
+    share = F.least(F.lit(127), F.floor((F.col("rare") + F.col("alone")) * 127 / F.col("n"))).cast("int")
+    held = scratch.table(held.select("sig", "cls", "n", "alone", share.alias("share")), "shares")
     scratch.drop("emitted")
+
+    def hubs(of: DataFrame) -> DataFrame:
+        first = of.groupBy("sig").agg(F.min(F.col("share").cast("decimal(3,0)") * two64 + (F.col("cls").cast("decimal(20,0)") + half)).alias("h"), F.min("cls").alias("lo"), F.max("cls").alias("up")).where("lo <> up")
+        return first.select("sig", (F.col("h") % two64 - half).cast("long").alias("hub"))
+
+    held = scratch.table(held.join(scratch.table(hubs(held), "hubs"), "sig"), "held")
+    scratch.drop("shares")
     facts = scratch.table(held.groupBy("cls").agg(F.max("n").alias("n"), F.max("alone").alias("alone")).join(sets.drop("n", "tokens"), "cls"), "facts")
     others = facts.select(*[F.col(c).alias(f"o_{c}") for c in facts.columns])
-    spokes = scratch.table(held.where("cls <> hub").select("cls", "hub").distinct(), "spokes")
     pair = (F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b"))
-    star = scratch.table(spokes.join(facts, "cls").join(others, F.col("hub") == F.col("o_cls")).where(_possible(percent)).select(*pair).distinct(), "star")
-    linked = scratch.table(_verify(star, sets, percent), "linked")
-    comp = _components(linked, scratch, "cc-a", rounds=2, partial=True)  # two rounds gather the stars; merged further at the end
-    # Holders outside their hub's component against holders of other components.
-    label = held.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "hub", F.coalesce("root", "cls").alias("root"))
-    label = scratch.table(label, "label")
-    centre = scratch.table(label.where("cls = hub").select("sig", F.col("root").alias("hub_root")), "centre")
-    outside = scratch.table(label.join(centre, "sig").where("root <> hub_root").select("sig", "cls", "root"), "outside")
-    if outside.limit(1).count():
-        still = scratch.table(outside.select("sig").distinct(), "still")
-        other = label.join(still, "sig", "left_semi").select("sig", F.col("cls").alias("o_cls"), F.col("root").alias("o_root"))
-        other = scratch.table(other.join(others, "o_cls"), "other")
-        outside = scratch.table(outside.join(facts, "cls"), "outside-facts")
-        cross = outside.join(other, "sig").where(_possible(percent) & (F.col("root") != F.col("o_root")))
-        cross = scratch.table(cross.select(*pair).distinct(), "cross")
-        cross = cross.join(star, ["a", "b"], "left_anti")
-        more = scratch.table(_verify(cross, sets, percent), "more")
-        linked = linked.union(more)
+
+    def spokes(of: DataFrame, name: str) -> DataFrame:
+        """The pairs (cls, hub) that can link."""
+        of = scratch.table(of.select("cls", "hub").distinct(), f"{name}-spokes")
+        return scratch.table(of.join(facts, "cls").join(others, F.col("hub") == F.col("o_cls")).where(_possible(percent)).select(*pair).distinct(), name)
+
+    made = spokes(held.where("cls <> hub"), "star")
+    linked = scratch.table(_verify(made, sets, percent), "linked")
+    todo, before, few = held.where("cls <> hub").select("sig", "cls", "share"), math.inf, small * held.count()
+    for i in itertools.count(1):
+        rest, pairs = _rest(todo, linked, scratch, f"rest-{i}")
+        if not pairs:
+            break
+        last = pairs <= few or pairs > before / 2
+        if last:
+            band = _bands(percent)
+            near = rest.select("sig", "cls", "root").join(facts, "cls").withColumn("band", band)
+            far = scratch.table(rest.select("sig", F.col("cls").alias("o_cls"), F.col("root").alias("o_root")).join(others, "o_cls"), f"far-{i}")
+            near = scratch.table(near.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))), f"near-{i}")
+            far = far.withColumn("band", F.floor(F.log(F.col("o_n").cast("double")) / math.log(100 / percent)).cast("int"))
+            new = near.join(far, ["sig", "band"]).where((F.col("cls") < F.col("o_cls")) & (F.col("root") != F.col("o_root")) & _possible(percent))
+            new = scratch.table(new.select(*pair).distinct(), f"cross-{i}")
+        else:
+            hub = scratch.table(hubs(rest), f"hubs-{i}").join(rest.select("sig", F.col("cls").alias("hub"), F.col("root").alias("hub_root")), ["sig", "hub"])
+            of = scratch.table(rest.join(hub, "sig"), f"hubs-of-{i}")
+            new = spokes(of.where("cls <> hub and root <> hub_root"), f"star-{i}")
+            todo, before = of.where("cls <> hub").select("sig", "cls", "share"), pairs
+        more = scratch.table(_verify(new.join(made, ["a", "b"], "left_anti"), sets, percent), f"more-{i}")
+        linked, made = linked.union(more), made.union(new)
+        if last:
+            break
     comp = _components(linked, scratch, "cc-b")
     rooted = scratch.table(cls.join(comp.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.table(rooted.join(least, "root").select("cls", "component_id"), "named")
     each = scan.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("hi")).alias("cls"))
-    out = each.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = docs.where("doc_id is null").select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_shingles", "component_id")])
-    return out.union(lost)
+    return each.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _components(linked: DataFrame, scratch: Scratch, name: str, **how) -> DataFrame:
@@ -301,11 +348,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     if not row_per_id(docs):
         rows = numbered(docs, Scratch(docs.sparkSession, "keep-one"))
-        found = near_copies(rows.select(F.col("row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+        found = _near_copies(rows.select(F.col("row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
         kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
         return own_columns(rows.join(kept, "row", "left_semi"), docs)
-    found = near_copies(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    found = _near_copies(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     return docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left_semi")
 
 
