@@ -113,6 +113,31 @@ def test_suffix_dedup_random_overlaps(spark):
     assert spans(suffix_dedup.remove_repeats(docs, 40, 12, (7, 1))) == brute_spans(dict(enumerate(texts)), 40)
 
 
+def brute_sharing(texts, n):
+    held = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - n + 1):
+            held.setdefault(tuple(w[k : k + n]), set()).add(i)
+    return {i for at in held.values() if len(at) > 1 for i in at}
+
+
+def test_shared_passages(spark, awkward, real):
+    rng = np.random.default_rng(11)
+    pieces = [rng.choice(list("abcdefgh"), rng.integers(2, 40)).tolist() for _ in range(14)]
+    stitched = {i: "  ".join(w for k in rng.integers(0, 14, rng.integers(1, 5)) for w in pieces[k]) for i in range(60)}
+    stitched |= {60: " ".join(["x"] * 40), 61: " ".join(["x"] * 19), 62: " ".join(["x"] * 20), 63: None}
+    docs = table(spark, list(stitched.values()))
+    scratch = Scratch(spark, "t")
+    for d, texts, n, gram in ((docs, stitched, 20, 6), (awkward[0], dict(enumerate(awkward[1])), 51, 16), (real[0], real[1], 51, 16)):
+        fps = {r.fp for r in suffix_dedup.sharing(d, Scratch(spark, "t"), n, gram).collect()}
+        named = {r.doc_id for r in d.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp")).collect() if r.fp in fps}
+        assert named == brute_sharing(texts, n)
+    assert suffix_dedup.sharing(docs.limit(0), scratch).count() == 0
+    rows = {r.doc_id: r.shares_passage for r in suffix_dedup.remove_repeats(awkward[0]).collect()}
+    assert {i for i, x in rows.items() if x} == brute_sharing(dict(enumerate(awkward[1])), 51)
+
+
 def test_suffix_dedup_empty(spark, awkward):
     assert suffix_dedup.remove_repeats(awkward[0].limit(0)).count() == 0
 
@@ -158,7 +183,9 @@ def test_ngram_join_chains(spark):
             w[at] = f"y{rng.integers(0, 10**6)}"
         texts.append(" ".join(w))
     texts += [" ".join(f"x{j}" for j in range(n)) for n in range(1, 14)]
-    assert found(ngram_join.near_copies(table(spark, texts), 4, 85)) == brute_components(dict(enumerate(texts)), 4, 85)
+    expected = brute_components(dict(enumerate(texts)), 4, 85)
+    for small in (ngram_join.SMALL, 0):  # 0: a new hub in each round
+        assert found(ngram_join.near_copies(table(spark, texts), 4, 85, small=small)) == expected
 
 
 def test_signatures_meet():
@@ -190,7 +217,7 @@ def test_keep_one(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
     assert ngram_join.near_copies(awkward[0].limit(0)).count() == 0
     odd = table(spark, ["a b c d e f", None], [None, 3])
-    assert found(ngram_join.near_copies(odd)) == {None: (None, None), 3: (0, 3)}
+    assert found(ngram_join.near_copies(odd)) == {None: (2, None), 3: (0, 3)}
 
 
 def test_keep_one_rows_without_own_id(spark):
@@ -251,6 +278,22 @@ def test_genetic_steps_keep_groupings():
     assert len(packing.evolve(sizes, people, 100, 20, rng)[0]) <= len(people[0])
 
 
+def test_genetic_steps_beat_best_fit():
+    """Triplets that fill bins exactly: best fit by falling size needs more bins than the genetic steps."""
+    rng = np.random.default_rng(0)
+    sizes = []
+    for _ in range(40):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        sizes += [a, b, 1000 - a - b]
+    sizes = rng.permutation(sizes).tolist()
+    plain = len(packing.best_fit(sizes, sorted(range(120), key=lambda i: -sizes[i]), 1000))
+    people = packing.first_population(sizes, 1000, packing.POPULATION, np.random.default_rng(1))
+    evolved = packing.evolve(sizes, people, 1000, packing.GENERATIONS * packing.EPOCHS, np.random.default_rng(2))[0]
+    assert 40 <= len(evolved) < plain
+    assert sorted(i for b in evolved for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 1000 for b in evolved)
+
+
 # ---------------------------------------------------------------- search
 def test_topk(spark):
     rng = np.random.default_rng(6)
@@ -267,6 +310,11 @@ def test_topk(spark):
             expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert got == sorted(expected)
     assert topk_search.search(rows.limit(0), rows).count() == 0
+    # Two vectors under one id are one query; columns of other tables with the names used inside don't matter.
+    two = spark.createDataFrame([(0, [1.0, 0.0], 1, 2, 3), (0, [0.0, 1.0], 1, 2, 3), (1, [3.0, 0.0], 1, 2, 3), (2, [0.0, 2.0], 1, 2, 3), (2, [0.0, 2.0], 1, 2, 3)], "vec_id long, embedding array<float>, cb long, qg long, kind int")
+    pair = topk_search.whole_numbers(two)
+    found = [(r.rank, r.vec_id, r.score) for r in topk_search.search(pair.where("id = 0").distinct(), pair, k=3).orderBy("rank").collect()]
+    assert found == [(1, 1, 3 * 65536), (2, 2, 2 * 65536), (3, 2, 2 * 65536)]
     assert topk_search.search(rows.where("id = 0"), rows.where("id in (0, 1)")).count() == 1
 
 
@@ -296,6 +344,46 @@ def test_language_without_labels(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
 
 
+def brute_language(learned, text):
+    """Every trigram by hand: the product of its letters' rolled vectors, summed; cosines with the bundles."""
+    space = language_id.Space()
+
+    def vector(t):
+        out, total = np.zeros(space.d), 0
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            padded = ["\0", *word, "\0"]
+            for x, y, z in zip(padded, padded[1:], padded[2:]):
+                codes = [0 if c == "\0" else ord(c) for c in (x, y, z)]
+                out += np.roll(space.letter(codes[0]), 2).astype(int) * np.roll(space.letter(codes[1]), 1) * space.letter(codes[2])
+                total += 1
+        return out, total
+
+    bundles = {}
+    for t, lang in learned:
+        v, n = vector(t)
+        if n:
+            bundles[lang] = bundles.get(lang, 0) + v / n
+    v, n = vector(text or "")
+    if not n:
+        return "und", 0.0
+    cosines = {k: float(b @ v / np.linalg.norm(b) / np.linalg.norm(v)) for k, b in bundles.items()}
+    best = max(sorted(cosines), key=lambda k: cosines[k])
+    return best, min(1.0, max(0.0, cosines[best]))
+
+
+def test_language_against_brute_force(spark):
+    learned = [("the cat and the dog", "en"), ("this is that thing", "en"), ("der hund und die katze", "de"), ("das ist ein ding", "de"), ("le chien et la chatte", "fr"), (None, "en"), ("1 2 3", "de"), ("text", None)]
+    asked = ["that dog", "ein hund", "la chatte et le chien", None, "", "42 !?", "x", "the cat " * 50_000, "the cat", "the cat"]
+    model = language_id.train(spark.createDataFrame(learned, "text string, lang string"))
+    docs = spark.createDataFrame([(i, t, "c", "f") for i, t in enumerate(asked)], "doc_id long, text string, found string, lang_pred string")
+    rows = language_id.identify(docs.select("doc_id", "text", "found"), model, ["doc_id", "found"]).collect()
+    for r in rows:
+        lang, score = brute_language([x for x in learned if x[0] and x[1]], asked[r.doc_id])
+        assert r.lang_pred == lang and r.found == "c" and abs(r.score - score) < 1e-3
+    tie = language_id.train(spark.createDataFrame([("same words", "zz"), ("same words", "aa"), ("same words", "mm")], "text string, lang string"))
+    assert tie.predict("same words")[0] == "aa"
+
+
 # ---------------------------------------------------------------- toxicity and mixing
 @pytest.fixture(scope="module")
 def labelled(spark):
@@ -332,6 +420,60 @@ def test_toxicity(spark, labelled):
     assert nothing.where("toxic or severity > 0").count() == 0
 
 
+def test_toxicity_against_brute_force(spark, labelled):
+    docs, labels = labelled
+    clash = docs.union(docs).union(spark.createDataFrame([(500, "nastything " * 60_000)], docs.schema)).withColumns({"toxic": F.lit("x"), "half": F.lit(1), "severity": F.lit(2.0), "f": F.lit("y")})
+    model = toxicity.train(clash, labels)
+    for r in toxicity.score(clash, model).join(clash.select(F.col("doc_id").alias("i"), "text").distinct(), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
+        z = sum(model.weights.get(f, 0.0) for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for f in [w, *(f"{w[:k]}*" for k in (4, 5, 6) if len(w) > k)])
+        above = [1 / (1 + np.exp(-np.clip(z - t, -40, 40))) for t in model.thresholds]
+        assert abs(r.severity - sum(above)) < 1e-9 and r.grade == sum(a >= 0.5 for a in above) and r.toxic == (above[0] >= 0.5)
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+def test_ordinal_fit_is_the_likelihood_maximum():
+    """Small changes of any parameter don't make the graded examples more likely."""
+    rng = np.random.default_rng(14)
+    x = rng.integers(0, 4, (300, 2))
+    grades = np.digitize(1.5 * x[:, 0] + 0.5 * x[:, 1] + rng.logistic(size=300), [1.5, 3.5, 5.0])
+    model = toxicity.fit([Counter({"a": int(a), "b": int(b)}) for a, b in x], grades, ["a", "b"], steps=3000, ridge=0.0)
+
+    def likelihood(weights, thresholds):
+        z = x @ weights
+        p = np.column_stack((np.ones(300), 1 / (1 + np.exp(-(z[:, None] - thresholds[None, :]))), np.zeros(300)))
+        return np.log(np.maximum(p[np.arange(300), grades] - p[np.arange(300), grades + 1], 1e-12)).sum()
+
+    w, t = np.array([model.weights["a"], model.weights["b"]]), model.thresholds
+    best = likelihood(w, t)
+    for i, d in itertools.product(range(5), (-0.05, 0.05)):
+        step = np.eye(5)[i] * d
+        assert likelihood(w + step[:2], t + step[2:]) < best + 1e-3
+    assert (np.diff(t) > 0).all()
+
+
+def test_mixing_against_brute_force(spark, labelled):
+    docs, labels = labelled
+    clash = docs.union(spark.createDataFrame([(3, "wordaa wordba"), (700, "word " * 100_000)], docs.schema)).withColumns({"p": F.lit(1), "rate": F.lit(2), "copies": F.lit(3), "domain": F.lit("x"), "_id": F.lit(9)})
+    domain = mixing.domain_labels(labels)
+    weights = {"high": 0.5, "low": 0.3, "toxic": 0.2}
+    model = mixing.train(clash, domain)
+    members = [(r.doc_id, r.n_tokens, np.array(r.p)) for r in mixing.posteriors(clash, model).collect()]
+    texts = [r.text for r in clash.collect()]
+    for (_, n, p), t in zip(members, texts):
+        assert n == len((t or "").split())
+        z = model.bias + sum((model.weights[f] * k for f, k in mixing.features(t).items() if f in model.weights), np.zeros(len(model.domains)))
+        e = np.exp(z - z.max())
+        assert np.allclose(p, e / e.sum())
+    n, p = np.array([m[1] for m in members], float), np.array([m[2] for m in members])
+    target = n.sum() * np.array([weights[d] for d in model.domains])
+    # The same descent with the whole matrix at hand: rates never under 0, steps along the weighted residual.
+    frame = spark.createDataFrame([(i, int(k), [float(v) for v in q]) for i, k, q in members], "doc_id long, n_tokens long, p array<double>")
+    rates = mixing.rates_of(p, mixing.fit_rates(frame, target))
+    assert (rates >= 0).all() and np.allclose((rates * n) @ p, target, rtol=1e-4)
+    out = mixing.mixed(clash, domain, weights)
+    assert out.columns == clash.columns and out.where("doc_id is null").count() >= 0
+
+
 def test_mixing(spark, labelled):
     docs, labels = labelled
     domains, rated = mixing.mix(docs, mixing.domain_labels(labels), {"high": 0.6, "low": 0.3, "toxic": 0.1})
@@ -357,22 +499,80 @@ def test_rates_meet_targets_where_some_are_zero():
 
 
 # ---------------------------------------------------------------- sharding
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
 def test_sharding(spark, awkward):
     docs, texts = awkward
-    many = docs.repartition(24)
-    store, rows = sharding.shard(many, target=1 << 20, small=1 << 10)
-    assert sorted(r.doc_id for r in rows.collect()) == list(range(len(texts)))
+    names = docs.withColumns({"shard": F.lit("own"), "tier": F.lit(9), "version": F.lit(1), "path": F.lit("p")})
+    many = names.union(names).repartition(24)
+    store, rows = sharding.shard(many, target=1 << 20, small=1 << 10, arrivals=3)
+    assert sorted(r.doc_id for r in rows.collect()) == sorted([*range(len(texts))] * 2)
     version, runs = store.manifest()
-    assert version >= 2 and len(runs) < 24 and sum(r["rows"] for r in runs) == len(texts)
-    back = store.read([r["path"] for r in runs])
-    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    assert version >= 5 and len(runs) < 24 and sum(r["rows"] for r in runs) == 2 * len(texts)
+    assert rows_of(store.read(runs)) == rows_of(many)
+    held = Counter(r.shard for r in rows.collect())
+    assert {r.shard: (r.shard_rows, r.tier) for r in rows.collect()} == {r["path"]: (r["rows"], store.tier(r)) for r in runs} and all(held[r["path"]] == r["rows"] for r in runs)
     before = store.versions()
-    with pytest.raises(Exception):  # noqa: B017  another writer has taken that version
+    with pytest.raises(sharding.VersionTaken):  # another writer has taken that version
         store.commit(version - 1, [])
     assert store.versions() == before and store.manifest() == (version, runs)
-    store.append(docs.limit(3))
-    assert sum(r["rows"] for r in store.manifest()[1]) == len(texts) + 3
-    assert sharding.shard(docs.limit(0))[1].count() == 0
+    store.append(names.limit(3))
+    assert sum(r["rows"] for r in store.manifest()[1]) == 2 * len(texts) + 3
+    ids = spark.createDataFrame([(None, "a"), (None, "b"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in sharding.shard(ids)[1].collect()) == [(False, 1), (False, 1), (True, 0), (True, 0)]
+    empty = sharding.shard(docs.limit(0))[1]
+    assert empty.count() == 0 and empty.columns == rows.columns
+
+
+def test_sharding_merges_by_size(spark):
+    """Tiers by brute force: as long as a tier under the target has as many runs as the fan-out, it is merged."""
+    store = sharding.ShardStore(spark, f"{sharding.shared_dir(spark)}/tiers", target=1 << 14, small=1 << 9)
+    docs = spark.createDataFrame([(i, hashlib.sha256(str(i).encode()).hexdigest() * 3) for i in range(400)], "doc_id long, text string")
+    for k in range(9):
+        store.append(docs.where(F.col("doc_id") % 9 == k).coalesce(1))
+        store.compact()
+        left = Counter(store.tier(r) for r in store.manifest()[1] if r["bytes"] < store.target / 2)
+        assert all(n < store.fanout for n in left.values())
+    version, runs = store.manifest()
+    assert version > 10 and rows_of(store.read(runs)) == rows_of(docs)  # nine appends, and at least two merges
+
+
+def test_sharding_writers_at_the_same_time(spark):
+    """Appenders, a compactor and a vacuum on one store: no row is lost, and older versions stay readable within the grace period."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"{sharding.shared_dir(spark)}/together"
+    open_ = lambda: sharding.ShardStore(spark, root, target=1 << 20, small=1 << 10)
+    open_().append(spark.range(0, 10, 1, 1))
+
+    def append(k):
+        store = open_()
+        for i in range(3):
+            lo = 10 + 30 * k + 10 * i
+            store.append(spark.range(lo, lo + 10, 1, 2))
+
+    def compact(_):
+        for _ in range(4):
+            open_().compact()
+            open_().vacuum()
+
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(append, k) for k in range(3)] + [pool.submit(compact, 0)]
+        [j.result() for j in jobs]
+    store = open_()
+    store.compact()
+    assert sorted(r.id for r in store.read(store.manifest()[1]).collect()) == list(range(100))
+    for v in store.versions():
+        assert store.read(store.manifest(v)[1]).count() == sum(r["rows"] for r in store.manifest(v)[1])
+    # The sequence that loses data where a merge deletes what it doesn't know: written, vacuumed by another, committed.
+    late = store._write(spark.range(100, 110, 1, 1))
+    open_().vacuum()
+    store._add(late[0])
+    assert store.read(store.manifest()[1]).count() == 110
+    assert store.vacuum(grace_s=0, keep=1) > 0
+    assert sorted(r.id for r in store.read(store.manifest()[1]).collect()) == list(range(110))
 
 
 # ---------------------------------------------------------------- HTML
@@ -397,25 +597,72 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def shape(nodes):
+    """A wrapper as text: tags, # for text, (...)+ for groups, ? for optional nodes."""
+    out = ""
+    for n in nodes:
+        kids = "" if n.head == "#" and type(n) is html_extract.Text else shape(n.kids)
+        out += "#" if type(n) is html_extract.Text else f"({kids})+" if type(n) is html_extract.Group else f"{'.'.join((n.head[0], *n.head[1]))}[{kids}]"
+        out += "?" if n.opt else ""
+    return out
+
+
+def wrapper(*pages):
+    return html_extract.merged([html_extract.page_tree(p) for p in pages])
+
+
 def test_wrapper_shapes():
-    items = lambda n: html_extract.fold(html_extract.stream("<ul>" + "<li>x</li>" * n + "</ul>"))
-    assert items(2) == items(5)
-    w = html_extract.align(items(1), items(3))
-    assert html_extract.align(w, items(4)) == w
-    a = html_extract.stream("<div><p>x</p></div>")
-    b = html_extract.stream("<div><h2>y</h2><p>x</p></div>")
-    merged = html_extract.align(a, b)
-    assert ["?", html_extract.stream("<h2>y</h2>")] in merged and html_extract.align(merged, a) == merged == html_extract.align(merged, b)
-
-
-def test_nested_and_long_streams():
-    row = "<tr>" + "<td>x</td>" * 3 + "</tr>"
-    a, b = (html_extract.fold(html_extract.stream(f"<table>{row * n}</table>")) for n in (2, 7))
-    assert a == b and len(a) == 3
-    long = "".join(f"<div class=c{i}><p>{i}</p></div>" for i in range(3000))
-    w = html_extract.align(html_extract.fold(html_extract.stream(long)), html_extract.fold(html_extract.stream(long[: len(long) // 2])))
-    assert html_extract.content_tags(w) == set()
-    assert html_extract.read_page(long, set()).count("\n") == 2999
+    items = lambda n: "<ul>" + "<li>x</li>" * n + "</ul>"
+    assert shape(wrapper(items(2))) == shape(wrapper(items(5))) == shape(wrapper(items(1), items(3))) == shape(wrapper(items(3), items(1), items(4))) == "ul[(li[#])+]"
+    plain, headed = "<div><p>x</p></div>", "<div><h2>y</h2><p>x</p></div>"
+    assert shape(wrapper(plain, headed)) == shape(wrapper(headed, plain, headed)) == "div[h2[#]?p[#]]"
+    terms = lambda n: "<dl>" + "<dt>a</dt><dd>b</dd>" * n + "</dl>"
+    assert shape(wrapper(terms(3))) == shape(wrapper(terms(1), terms(2))) == "dl[(dt[#]dd[#])+]"
+    assert shape(wrapper("<p>a <b>c</b> d</p><p>e</p>")) == "(p[#b[#]?#?])+"
+    w = wrapper("<p class='x y'>a</p><p>b</p>", "<p class='y x'>c</p>")
+    assert shape(w) == "p.x.y[#]p[#]?" and html_extract.dump(html_extract.load(html_extract.dump(w))) == html_extract.dump(w)
+
+
+def test_matches_are_longest():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        x, y = (rng.integers(0, 4, rng.integers(0, 14)).tolist() for _ in range(2))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+        found = html_extract.matches(x, y)
+        assert len(found) == best[-1, -1] and all(x[i] == y[j] for i, j in found) and all(p < q and r < t for (p, r), (q, t) in zip(found, found[1:]))
+
+
+def test_wide_groups_and_long_and_deep_pages(spark):
+    wide = "".join(f"<div class=c{i}><p>{i}</p></div>" for i in range(700))  # a group of 700 nodes
+    w = html_extract.page_tree(wide * 3)
+    assert len(w) == 1 and type(w[0]) is html_extract.Group and len(w[0].kids) == 700
+    long, half = ("".join(f"<div class=c{i}><p>{i}</p></div>" for i in range(n)) for n in (3000, 1500))
+    assert sum(n.opt for n in wrapper(long, half)) == 1500
+    deep = "<div>" * 20_000 + "<p>Bottom" + "</div>" * 20_000
+    table_ = "<table>" + "<tr><td>x</td><td>y</td></tr>" * 5000 + "</table>"
+    rows = [("http://d.example/1", deep), ("http://d.example/2", deep.replace("Bottom", "Other")), ("http://l.example/1", long), ("http://l.example/2", half), ("http://t.example", table_), ("http://t.example", "a" * 500_000), ("http://t.example", "<")]
+    df = spark.createDataFrame([(1, u, h, "x", "y", "z") for u, h in rows], "page_id long, url string, html string, tags string, models string, template string").coalesce(1)
+    found = sorted(r.text for r in html_extract.extract(df).collect())
+    assert found == sorted(["Bottom", "Other", "\n".join(map(str, range(3000))), "\n".join(map(str, range(1500))), "\n".join(["x", "y"] * 5000), "a" * 500_000, "<"])
+
+
+def test_boilerplate_without_telling_names(spark):
+    """Classes say nothing and no tag does: menus, notices and teasers go by their slots. The rule for single pages keeps them all."""
+    rng = np.random.default_rng(13)
+    say = lambda n: " ".join(rng.choice([f"word{i}" for i in range(300)], n))
+    page = "<body><div class=k1><ul>{0}</ul></div><div class=k2>All the news. Read our terms.</div><div class=k3><h1>{1}</h1></div><div class=k4>{2}<p>Ask us for more</p></div><div class=k5>{3}</div></body>"
+    made = []
+    for _ in range(8):
+        head, paragraphs = say(4), [say(40) for _ in range(rng.integers(1, 5))]
+        links = "".join(f"<li><a href=/{i}>{say(2)}</a></li>" for i in range(rng.integers(1, 6)))
+        made.append((page.format(links, head, "".join(f"<p>{p}</p>" for p in paragraphs), say(3)), "\n".join([head, *paragraphs])))
+    df = spark.createDataFrame([(i, "http://k.example/", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract(df.repartition(3)).collect()}
+    for i, (html, text) in enumerate(made):
+        assert found[i] == text
+        assert "All the news" in html_extract.main_text(html, None)
 
 
 def test_template_texts(spark):
