@@ -30,7 +30,7 @@ def bfs(edges: DataFrame, source: int, alpha: float = 0.01, vertices: int | None
         while size and (most is None or level < most):
             level += 1
             if apart == MERGE:  # else every round would read as many parts as there are levels
-                visited, apart = cut(visited.coalesce(max(8, visited.rdd.getNumPartitions() // MERGE))), 0
+                visited, apart = cut(visited.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))), 0
             seen = visited.select(F.col("v").alias("dst"))
             f = frontier.select(F.col("v").alias("src"))
             if size > alpha * max(n, 1):
