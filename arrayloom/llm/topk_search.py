@@ -106,8 +106,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = B
                 for i in range(0, len(rows), 16):
                     for own, s in zip(r.ids[i : i + 16], index.scores(rows[i : i + 16])):
                         ids, s = best(s, index.ids, int(own), k)
-                        out.append(pd.DataFrame({"query_id": int(own), "vec_id": ids, "score": s}))
-                yield pd.concat(out, ignore_index=True)
+                        out.append((int(own), ids, s))
+                yield pd.DataFrame({"query_id": np.repeat([x[0] for x in out], [len(x[1]) for x in out]), "vec_id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
     found = cells.mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
