@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -28,10 +29,10 @@ from .common import Scratch, read_table, worker_state
 CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 2
-EPOCHS = 3
-GENERATIONS = 12
-POPULATION = 6
-CACHED = 700_000  #: chunks whose ids a worker keeps from one batch to the next
+EPOCHS = 2
+GENERATIONS = 10
+POPULATION = 4
+CACHED = 700_000  #: words whose ids a worker keeps from one batch to the next
 WELL_FILLED = 0.98  #: pieces of bins under this are pooled over blocks once
 
 
@@ -40,9 +41,11 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks between ASCII
-    white space, one after another; chunks repeat, so their ids are kept. Marks after letters are a word of their own. Unknown words of small letters in normal form are encoded many at a time, without the normaliser that
-    would leave them as they are, and told apart by their word-end tokens; where the numbers of words and ends differ,
-    and for all other chunks, each is encoded alone by the full tokenizer.
+    white space, one after another, and marks after letters are a word of their own. Chunks are told apart, cut into a word and its
+    marks and lowered by Arrow; only different words reach Python, and what is known of them is kept from batch to batch. Unknown
+    words of small letters in normal form are encoded many at a time, without the normaliser that would leave them as
+    they are, and told apart by their word-end tokens; where the numbers of words and ends differ each is encoded alone by
+    the full tokenizer, as is every chunk that isn't letters and marks.
     """
 
     def __init__(self, path: str):
@@ -54,12 +57,25 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self._clear()
+
+    def _clear(self) -> None:
+        """Ids lie in one pool. words, wholes: number of a word in small letters (-1: not plain), of any other chunk or run of marks."""
+        self.words: dict[str, int] = {}
+        self.wholes: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.wholes[""] = self._add(b"")
+
+    def _add(self, raw: bytes) -> int:
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(raw) // 4)
+        self.pool.frombytes(raw)
+        return len(self.starts) - 1
 
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _many(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(words) or stop[-1] != len(ids):
@@ -67,46 +83,51 @@ class Encoder:
         raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes the ids of all chunks known."""
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-            known[""] = b""
-        plain: dict[str, str] = {}  # chunks of small letters, or of letters and marks, and their words
-        marked: dict[str, tuple[str, str]] = {}
-        odd = []
-        for c in chunks.difference(known):
-            if c.isalpha():
-                if c.isascii():
-                    plain[c] = c.lower()
-                elif c == c.lower() and is_normalized("NFC", c):
-                    plain[c] = c
-                else:
-                    odd.append(c)
-                continue
-            word = c.rstrip(_MARKS)
-            if not word.isalpha():
-                odd.append(c)
-            elif word.isascii():
-                marked[c] = word.lower(), c[len(word) :]
-            elif word == word.lower() and is_normalized("NFC", word):
-                marked[c] = word, c[len(word) :]
-            else:
-                odd.append(c)
-        words = list(set(plain.values()).union([w for w, _ in marked.values()]).difference(known))
-        for i in range(0, len(words), 512):
-            known.update(zip(words[i : i + 512], self._words(words[i : i + 512])))
-        for x in {m for _, m in marked.values()}.difference(known).union(odd):
-            known[x] = self._alone(x)
-        for c, w in plain.items():
-            if c not in known:
-                known[c] = known[w]
-        for c, (w, m) in marked.items():
-            known[c] = known[w] + known[m]
+    def _word_numbers(self, words: list[str]) -> np.ndarray:
+        known = list(map(self.words.get, words))
+        if None in known:
+            new = [w for w, k in zip(words, known) if k is None]
+            plain = [w for w in new if w.isalpha() and (w.isascii() or w == w.lower() and is_normalized("NFC", w))]
+            self.words.update(dict.fromkeys(new, -1))
+            for i in range(0, len(plain), 512):
+                part = plain[i : i + 512]
+                self.words.update(zip(part, map(self._add, self._many(part))))
+            known = list(map(self.words.get, words))
+        return np.array(known, dtype=np.int64)
+
+    def _whole_numbers(self, chunks: list[str]) -> np.ndarray:
+        wholes = self.wholes
+        for c in chunks:
+            if c not in wholes:
+                wholes[c] = self._add(self._alone(c))
+        return np.array(list(map(wholes.__getitem__, chunks)), dtype=np.int64)
+
+    def _numbers(self, chunks) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk of a large_string array the numbers of its word (or of the whole chunk) and of its marks."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        strings = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+        words = pc.utf8_rtrim(chunks, characters=_MARKS)
+        letters = pc.ascii_is_alpha(words)
+        low = pc.if_else(letters, pc.ascii_lower(words), words)
+        maybe = pc.or_(letters, pc.invert(pc.string_is_ascii(words))).to_numpy(zero_copy_only=False)
+        coded = low.filter(pa.array(maybe)).dictionary_encode()
+        first = np.full(len(chunks), -1, np.int64)
+        first[maybe] = self._word_numbers(strings(coded.dictionary))[coded.indices.to_numpy()]
+        # the marks: what follows the word in the chunk's bytes
+        edge = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        ahead = pc.binary_length(words).to_numpy()
+        rest = np.where(first >= 0, edge[1:] - edge[:-1] - ahead, 0)
+        stop = np.concatenate(([0], np.cumsum(rest)))
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[np.repeat(edge[:-1] + ahead - stop[:-1], rest) + np.arange(stop[-1])] if stop[-1] else np.zeros(0, np.uint8)
+        marks = pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(stop), pa.py_buffer(data)).dictionary_encode()
+        second = self._whole_numbers(strings(marks.dictionary))[marks.indices.to_numpy()]
+        odd = np.flatnonzero(first < 0)
+        first[odd] = self._whole_numbers(strings(chunks.take(pa.array(odd))))
+        return first, second
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Chunks are told apart and numbered by Arrow; ids are gathered by chunk number."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -114,15 +135,14 @@ class Encoder:
             texts = [t.replace(c, " ") if c in t else t for t in texts]
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        self.learn(set(chunks))
-        ids = [self.known[c] for c in chunks]
-        pool, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        at = coded.indices.to_numpy()
-        many = size[at]
+        if len(self.starts) > CACHED:
+            self._clear()
+        both = np.stack(self._numbers(coded.dictionary), axis=1)[coded.indices.to_numpy()].ravel()
+        many = np.frombuffer(self.sizes, dtype=np.int64)[both]
         stop = np.concatenate(([0], np.cumsum(many)))
-        out = pool[np.repeat((np.cumsum(size) - size)[at] - stop[:-1], many) + np.arange(stop[-1])]
-        edge = stop[lists.offsets.to_numpy()].tolist()
+        start = np.frombuffer(self.starts, dtype=np.int64)[both] - stop[:-1]
+        out = np.frombuffer(self.pool, dtype="<u4")[np.repeat(start, many) + np.arange(stop[-1])] if stop[-1] else np.zeros(0, "<u4")
+        edge = stop[2 * lists.offsets.to_numpy().astype(np.int64)].tolist()
         return [out[x:y].tobytes() for x, y in zip(edge, edge[1:])]
 
     def encode(self, text: str) -> bytes:
@@ -148,8 +168,8 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         seed = TaskContext.get().partitionId() << 32
         for pdf in batches:
             out, texts, doc_ids = [], pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for i in range(0, len(texts), 1024):
-                for doc_id, ids in zip(doc_ids[i : i + 1024], enc.encode_all([t or "" for t in texts[i : i + 1024]])):
+            for i in range(0, len(texts), 4096):
+                for doc_id, ids in zip(doc_ids[i : i + 4096], enc.encode_all([t or "" for t in texts[i : i + 4096]])):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
