@@ -120,10 +120,10 @@ def worker_state(owner: str, key, make):
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public-domain murmur3 constants), element by element."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
+        x *= factor
+        x ^= x >> np.uint64(33)
+    return x
 
 
 class ByteHasher:
@@ -156,6 +156,13 @@ class ByteHasher:
         """Fingerprint of data[start:stop], the same wherever these bytes stand."""
         return mix((sums[stop] - sums[start]) * self.unpower[start] + (stop - start).astype(np.uint64))
 
+    def every(self, sums: np.ndarray, length: int) -> np.ndarray:
+        """The fingerprints of all substrings of that length, in order."""
+        x = sums[length:] - sums[:-length]
+        x *= self.unpower[: len(x)]
+        x += np.uint64(length)
+        return mix(x)
+
 
 def hasher() -> ByteHasher:
     """One hasher for each worker process."""

@@ -53,9 +53,9 @@ def sampled(data: np.ndarray, sums: np.ndarray, least: int, gram: int) -> tuple[
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none.view(np.uint64), none, none
-    at = np.arange(n - gram + 1)
-    h = hasher().span(sums, at, at + gram)
-    low = (h >> np.uint64(32) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+    h = hasher().every(sums, gram)
+    low = h & np.uint64(0xFFFFFFFF00000000)
+    low |= np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(h), -1, dtype=np.uint64)
     width, have = least - gram + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -99,25 +99,36 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    def run(batches):
-        import pandas as pd
+def _stacked(parts: list[tuple], once: tuple[str, ...], each: tuple[str, ...]):
+    """One frame for many parts: a tuple of values that hold for all rows of a part, and a tuple of its columns."""
+    import pandas as pd
+
+    sizes = [len(x[0]) for _, x in parts]
+    columns = {c: np.repeat(np.array([x[i] for x, _ in parts], bool if c in ("word", "open") else np.int64), sizes) for i, c in enumerate(once)}
+    return pd.DataFrame(columns | {c: np.concatenate([np.zeros(0, np.int64), *(x[i] for _, x in parts)]) for i, c in enumerate(each)})
+
+
+def _anchors(docs: DataFrame, least: int, gram: int, words: int, word_gram: int) -> DataFrame:
+    """One pass over the texts: anchors of byte windows and (word) of windows of words; common: rank of the gram, whole: of all its windows together."""
+    texts = _texts(docs).withColumn("doc", F.monotonically_increasing_id()).where(F.col("n") >= min(least, 2 * words - 1))
 
+    def run(batches):
         for pdf in batches:
-            parts = []
-            for fp, n, text in zip(pdf["fp"], pdf["n"], pdf["text"]):
+            parts: list[tuple] = []
+            for fp, n, text, doc in zip(pdf["fp"], pdf["n"], pdf["text"], pdf["doc"]):
                 data = _bytes(text)
-                if len(data) < least:
-                    continue
                 h = hasher()
                 sums = h.sums(data)
-                q, common, first, last = sampled(data, sums, least, gram)
-                whole = h.span(sums, first, last + least)
-                parts.append(pd.DataFrame({"common": common.view(np.int64), "whole": whole.view(np.int64), "fp": fp, "n": n, "q": q, "lo": q - last, "hi": q - first}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                for word, s, size, k in ((False, sums, least, gram), (True, word_sums(data, sums), words, word_gram)):
+                    q, common, first, last = sampled(s[1:], s, size, k)
+                    if len(q):
+                        whole = h.span(s, first, last + size)
+                        if word:  # windows at other distances are other windows
+                            whole = mix(whole ^ (q - first).astype(np.uint64))
+                        parts.append(((word, fp, n, doc), (common.view(np.int64), whole.view(np.int64), q, q - last, q - first)))
+            yield _stacked(parts, ("word", "fp", "n", "doc"), ("common", "whole", "q", "lo", "hi"))
 
-    return _texts(docs).where(F.col("n") >= least).mapInPandas(run, "common long, whole long, fp long, n long, q int, lo int, hi int")
+    return texts.mapInPandas(run, "word boolean, fp long, n long, doc long, common long, whole long, q int, lo int, hi int")
 
 
 def _next(rows: DataFrame, scratch: Scratch, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
@@ -138,19 +149,18 @@ def _narrow(blocks_: DataFrame, texts: DataFrame, width: int, least: int, gram:
     grouped = grouped.select(*KEY, *[F.col("b")[c].alias(c) for c in ("q", "lo", "hi", "m", "open")])
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
-            parts = []
+            parts: list[tuple] = []
             for r in pdf.itertuples(index=False):
                 data = np.frombuffer(r.data, np.uint8)
                 q, lo, hi = (np.asarray(x, np.int64) for x in (r.q, r.lo, r.hi))
                 of, common, whole, lo, hi = blocks(hasher().sums(data), len(data), q, lo, hi, width, least, gram)
-                parts.append(pd.DataFrame({"common": common, "whole": whole, "fp": r.fp, "n": r.n, "q": q[of], "lo": lo, "hi": hi, "m": np.asarray(r.m, np.int64)[of], "open": np.asarray(r.open, bool)[of]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                parts.append(((r.fp, r.n), (common, whole, q[of], lo, hi, np.asarray(r.m, np.int64)[of], np.asarray(r.open, np.int64)[of])))
+            out = _stacked(parts, KEY, ("common", "whole", "q", "lo", "hi", "m", "open"))
+            out["open"] = out["open"].astype(bool)
+            yield out
 
-    return grouped.join(texts, KEY).mapInPandas(run, "common long, whole long, fp long, n long, q int, lo int, hi int, m long, open boolean")
+    return grouped.join(texts, KEY).mapInPandas(run, "fp long, n long, common long, whole long, q int, lo int, hi int, m long, open boolean")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +171,13 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], stop[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(stop) - 1]))]
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram: int = GRAM, widths=WIDTHS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, anchors: DataFrame, scratch: Scratch, least: int = LEAST, gram: int = GRAM, widths=WIDTHS) -> tuple[DataFrame, DataFrame]:
     """(fp, n, starts, stops) of each distinct text that has removed runs, and the texts (fp, n, data) these need."""
-    rows = scratch.table(_anchors(docs, least, gram), "anchors")
+    rows = anchors.where("not word")
     again = scratch.table(rows.groupBy("common").count().where("count > 1").select("common"), "again")
     rows = rows.join(again, "common").groupBy("common", "whole", *KEY, "q", "lo", "hi").agg(F.count(F.lit(1)).alias("m")).withColumn("open", F.lit(True))
     rows = scratch.table(rows, "rank-0")
-    scratch.drop("anchors", "again")
+    scratch.drop("again")
     wanted = scratch.table(rows.select(*KEY).distinct(), "wanted")
     table = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "fp"))
 
@@ -189,63 +199,44 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram:
     return spans.select(*KEY, F.col("x.s").alias("starts"), F.col("x.e").alias("stops")), texts
 
 
-def word_sums(text: str) -> np.ndarray:
+def word_sums(data: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """Prefix sums over the fingerprints of a text's words."""
-    data = _bytes(text)
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _white[data], [True])).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(_white[data], prepend=True, append=True))
     h = hasher()
-    words = h.span(h.sums(data), edge[0::2], edge[1::2])
-    h.grow(len(words) + 1)
+    words = h.span(sums, edge[0::2], edge[1::2])
     out = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * h.power[: len(words)], out=out[1:])
     return out
 
 
-def sharing(docs: DataFrame, scratch: Scratch, words: int = PASSAGE + 1, gram: int = WORD_GRAM) -> DataFrame:
+def sharing(docs: DataFrame, anchors: DataFrame, scratch: Scratch, words: int = PASSAGE + 1, gram: int = WORD_GRAM) -> DataFrame:
     """fp: the distinct texts with a run of `words` words or more that another document has too."""
-    texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text")).where(F.octet_length("text") >= 2 * words - 1)
-
-    def anchors(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            parts = []
-            for doc, fp, text in zip(pdf["doc"], pdf["fp"], pdf["text"]):
-                sums = word_sums(text)
-                q, name, first, last = sampled(sums[1:], sums, words, gram)
-                if len(q):
-                    whole = hasher().span(sums, first, last + words)
-                    parts.append(pd.DataFrame({"gram": name.view(np.int64), "whole": mix(whole ^ (q - first).astype(np.uint64)).view(np.int64), "doc": doc, "fp": fp}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
 
     def several(df, key):
         return df.groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("up")).where("lo <> up").select(key)
 
-    rows = scratch.table(texts.mapInPandas(anchors, "gram long, whole long, doc long, fp long"), "word-anchors")
+    rows = anchors.where("word").select(F.col("common").alias("gram"), "whole", "doc", "fp")
     rows = scratch.table(rows.join(scratch.table(several(rows, "gram"), "word-grams"), "gram", "left_semi"), "word-rank-0")
-    scratch.drop("word-anchors")
     found = scratch.table(rows.join(scratch.table(several(rows, "whole"), "word-wholes"), "whole", "left_semi").select("fp").distinct(), "word-found")
     left = scratch.table(rows.join(found, "fp", "left_anti").select("gram").distinct(), "word-left")
     wanted = scratch.table(rows.select("gram", "fp").distinct().join(left, "gram", "left_semi"), "word-wanted")
     table = docs.sparkSession.sparkContext.broadcast((id_filter(wanted, "fp"), id_filter(left, "gram")))
+    texts = _texts(docs).withColumn("doc", F.monotonically_increasing_id()).where(F.col("n") >= 2 * words - 1)
 
     def windows(batches):
-        import pandas as pd
-
         for pdf in batches:
             pdf, parts = pdf[in_filter(table.value[0], pdf["fp"].to_numpy())], []
             for doc, fp, text in zip(pdf["doc"], pdf["fp"], pdf["text"]):
-                sums = word_sums(text)
+                data = _bytes(text)
+                sums = word_sums(data, hasher().sums(data))
                 q, name, first, last = sampled(sums[1:], sums, words, gram)
                 open_ = in_filter(table.value[1], name.view(np.int64))
                 many = last[open_] - first[open_] + 1
                 at = np.arange(many.sum()) + np.repeat(first[open_] - np.cumsum(many) + many, many)
-                parts.append(pd.DataFrame({"window": hasher().span(sums, at, at + words).view(np.int64), "doc": doc, "fp": fp}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                parts.append(((doc, fp), (hasher().span(sums, at, at + words).view(np.int64),)))
+            yield _stacked(parts, ("doc", "fp"), ("window",))
 
-    last = scratch.table(texts.mapInPandas(windows, "window long, doc long, fp long"), "word-windows")
+    last = scratch.table(texts.mapInPandas(windows, "doc long, fp long, window long"), "word-windows")
     again = last.join(scratch.table(several(last, "window"), "word-again"), "window", "left_semi").select("fp").distinct()
     return scratch.table(found.union(again).distinct(), "word-sharing")
 
@@ -253,7 +244,8 @@ def sharing(docs: DataFrame, scratch: Scratch, words: int = PASSAGE + 1, gram: i
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, widths=WIDTHS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed runs (starts, stops) and shares_passage (1 or 0) of each document."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    spans, texts = repeated_spans(docs, scratch, least, gram, widths)
+    anchors = scratch.table(_anchors(docs, least, gram, PASSAGE + 1, WORD_GRAM), "anchors")
+    spans, texts = repeated_spans(docs, anchors, scratch, least, gram, widths)
 
     def run(batches):
         import pandas as pd
@@ -274,7 +266,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, widths
     each = each.select("doc_id", F.xxhash64("text").alias("fp"), F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("all"))
     none = F.array().cast("array<long>")
     zero = F.lit(0).cast("long")
-    shared = sharing(docs, scratch).withColumn("shares_passage", F.lit(1))
+    shared = sharing(docs, anchors, scratch).withColumn("shares_passage", F.lit(1))
     each = each.join(cut, KEY, "left").join(shared, "fp", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
     return each.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"), "shares_passage")
 
