@@ -3,7 +3,8 @@
 Texts are equal when they are identical after deleting the six ASCII white-space characters. A group is combined in
 three steps: inside each input partition (map-side aggregation), by (digest, salt), and by digest over the salts'
 winners. The grouping key of each step is the digest *and the whole normalised text*, so full content is compared at
-every stage; a digest alone only serves to leave out texts that nothing can equal.
+every stage; a digest alone only serves to leave out texts that nothing can equal, by a bit table of fixed size (it lets
+more of them through as the input grows, which moves more texts and changes nothing else).
 
 Defined cases: null text is empty text, and empty texts form one group; of equal texts the one with the most code
 points in its original text stays, then the least doc_id; rows with a null doc_id count in group_size and stay only
@@ -41,6 +42,15 @@ def _keep(rank: Column) -> Column:
     return (_number(_TOP) - rank % _number(_STEP)).cast("long")
 
 
+def _slot() -> Column:
+    """A digest's place in a table of 2**24 bits, kept as at most 2**18 words (4 MB to broadcast, whatever the input)."""
+    return F.xxhash64("sha").bitwiseAND(F.lit((1 << 24) - 1).cast("long"))
+
+
+def _bit() -> Column:
+    return F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+
+
 def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -49,10 +59,10 @@ def find_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     full = base.select("doc_id", F.length("_t").cast("long").alias("n_cp"), normalised(F.col("_t")).alias("norm"))
     digests = scratch.table(full.select("doc_id", "n_cp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digests")
     repeated = scratch.table(digests.groupBy("sha").count().where("count > 1").select("sha"), "repeated")
-    # Rows whose digest occurs once are alone; only the others' texts move, dealt by doc_id and digest.
-    ids = scratch.table(digests.join(repeated, "sha", "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "ids")
-    mates = full.withColumn("sha", F.unhex(F.sha2("norm", 256)))
-    mates = mates.join(ids, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Texts whose digest occurs once stay where they are but for the few that the bit table lets through.
+    bits = scratch.table(repeated.select(_slot().alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(_bit()).alias("bits")), "bits")
+    mates = full.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("slot", _slot())
+    mates = mates.join(F.broadcast(bits), F.shiftright("slot", 6) == F.col("word")).where(F.col("bits").bitwiseAND(_bit()) != 0)
     mates = mates.select("sha", "norm", _rank().alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     salted = mates.groupBy("sha", "norm", "salt").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))
     groups = salted.groupBy("sha", "norm").agg(F.max("w").alias("w"), F.sum("n").alias("n")).select("sha", _keep(F.col("w")).alias("keep"), F.col("n").alias("n"), "norm")
