@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..tensor import VALUE, SparseTensor
+from . import blocks
 
 
 @dataclass(frozen=True)
@@ -20,19 +21,23 @@ class Semiring:
     add: object
     mul: object
     zero: float
+    kernel: str | None = None  # its name in blocks
 
     def reduce(self, column: str) -> Column:
         return self.add(column)
 
 
-SUM_PRODUCT = Semiring(F.sum, lambda a, b: a * b, 0.0)
-MIN_PLUS = Semiring(F.min, lambda a, b: a + b, float("inf"))
+SUM_PRODUCT = Semiring(F.sum, lambda a, b: a * b, 0.0, "sum_product")
+MIN_PLUS = Semiring(F.min, lambda a, b: a + b, float("inf"), "min_plus")
 MAX_MIN = Semiring(F.max, lambda a, b: F.least(a, b), 0.0)
-OR_AND = Semiring(F.bool_or, lambda a, b: a & b, False)
+OR_AND = Semiring(F.bool_or, lambda a, b: a & b, False, "or_and")
 
 
-def einsum(spec: str, *operands: SparseTensor, semiring: Semiring = SUM_PRODUCT, preaggregate: bool = True) -> SparseTensor:
-    """`einsum("ij,jk->ik", a, b)`. A scalar result has no axes and one row."""
+def einsum(spec: str, *operands: SparseTensor, semiring: Semiring = SUM_PRODUCT, preaggregate: bool = True, blocked: bool = False) -> SparseTensor:
+    """`einsum("ij,jk->ik", a, b)`. A scalar result has no axes and one row.
+
+    blocked: a matrix product whose result outgrows a task's memory is made in blocks (`plans.blocks`), not by joined and grouped rows.
+    """
     left, _, out = spec.replace(" ", "").partition("->")
     terms = left.split(",")
     if len(terms) != len(operands):
@@ -49,6 +54,10 @@ def einsum(spec: str, *operands: SparseTensor, semiring: Semiring = SUM_PRODUCT,
     if set(out) - set().union(*(p[0] for p in parts)):
         raise ValueError("an output index is in no operand")
 
+    if blocked and len(terms) == 2 and terms[0][1:] == terms[1][:1] and out == terms[0][0] + terms[1][1] and blocks.supported(*operands, semiring.kernel):
+        df = blocks.product(*operands, semiring.kernel).toDF(*out, VALUE)
+        return SparseTensor(df, tuple(out), tuple(sizes[a] for a in out) if all(a in sizes for a in out) else None, semiring.zero)
+
     def reduce(part, others):
         axes, df = part
         wanted = set(out).union(*(o[0] for o in others)) if others else set(out)
