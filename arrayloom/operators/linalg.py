@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import blocks
 from ..plans.einsum import einsum
 from ..plans.lineage import cut
 from ..tensor import SparseTensor
@@ -84,7 +85,7 @@ def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTen
     """C = A B.
 
     outer      join on the contracted index, aggregate partial products (map-side combined): the natural plan
-    gustavson  B as sorted rows; an entry of A meets a whole row of B
+    gustavson  B as sorted rows; an entry of A meets a whole row of B (of a block of B's columns), row by row of A
     inner      rows of A and columns of B in pieces of `PIECE` contracted indices; pieces with the same range are intersected
                entry by entry, and a pair's partial dot products are summed
     """
@@ -96,6 +97,8 @@ def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTen
     if method == "outer":
         c = einsum("ik,kj->ij", left, right)
         return SparseTensor(c.df, ("i", "j"), shape)
+    if method == "gustavson" and blocks.supported(a, b, "sum_product"):
+        return SparseTensor(blocks.product(a, b, order="i"), ("i", "j"), shape)
     if method == "gustavson":
         rows = right.df.groupBy("k").agg(F.collect_list(F.struct("j", F.col("v").alias("w"))).alias("row"))
         products = left.df.join(rows, "k").select("i", "v", F.explode("row").alias("e")).select("i", F.col("e.j").alias("j"), (F.col("v") * F.col("e.w")).alias("v"))
