@@ -6,7 +6,7 @@ csr, dcsr      (i, idx, val): the same of rows; csr has every row of the shape,
 dense          (i, val): every row of the shape, in full
 vbl            (j, i_start, val): runs of neighbouring stored rows of a column
 vbl_pattern    (j, i_start, n): the runs' places only
-band           (j, i_lo, val): one range for each column, gaps filled with 0
+band           (j, i_lo, val): one range for each column (or each column and strip of rows), gaps filled with 0
 point          (j, i, v): at most one entry for each column (raises otherwise)
 point_pattern  (j, i): the same without values
 blocked        (bi, bj, val): dense b x b blocks
@@ -40,7 +40,8 @@ def _shape(t: SparseTensor) -> tuple[int, int]:
     return t.shape or tuple(int(x if x is not None else -1) + 1 for x in t.df.agg(*[F.max(a) for a in t.axes]).first())
 
 
-def encode(t: SparseTensor, fmt: str, block: int = 10) -> DataFrame:
+def encode(t: SparseTensor, fmt: str, block: int = 10, strip: int | None = None) -> DataFrame:
+    """strip: a band has a range for each column and that many rows, so that long gaps aren't filled."""
     i, j = t.axes
     df = t.df.select(F.col(i).alias("i"), F.col(j).alias("j"), "v")
     pairs = F.array_sort(F.collect_list(F.struct("i", "v")))
@@ -67,7 +68,7 @@ def encode(t: SparseTensor, fmt: str, block: int = 10) -> DataFrame:
             return runs.agg(F.min("i").alias("i_start"), F.count(F.lit(1)).alias("n")).select("j", "i_start", "n")
         return runs.agg(pairs.alias("e")).select("j", F.col("e")[0]["i"].alias("i_start"), F.col("e.v").alias("val"))
     if fmt == "band":
-        cols = df.groupBy("j").agg(pairs.alias("e"))
+        cols = df.groupBy("j", *([] if strip is None else [F.floor(F.col("i") / strip).alias("strip")])).agg(pairs.alias("e"))
         return cols.select("j", F.col("e")[0]["i"].alias("i_lo"), _spread(F.col("e"), F.col("e")[0]["i"]).alias("val"))
     if fmt == "point_pattern":
         return encode(t, "point").select("j", "i")

@@ -53,16 +53,20 @@ def scaled(fibres: DataFrame, encoding: str, vec: DataFrame) -> DataFrame:
     raise ValueError(f"no such encoding: {encoding}")
 
 
+STRIP = 64  #: rows of a band's piece
+
+
 def spmv_symmetric(upper: SparseTensor, diagonal: SparseTensor, x: SparseTensor, encoding: str = "coo") -> SparseTensor:
     """y = (U + U' + D) x from the stored triangle: half of the matrix is read, each entry contributes twice.
 
+    Bands are cut into strips of `STRIP` rows: a triangle's column may reach over all rows and store few of them.
     Encoded columns meet x(j) as wholes for y(i) += U(i, j) x(j), and are unrolled to meet x(i) for y(j) += U(i, j) x(i).
     """
     i, j = upper.axes
     vec = x.df.select(F.col(x.axes[0]).alias("k"), F.col("v").alias("xv"))
     d = diagonal.df.select(F.col(diagonal.axes[0]).alias("o"), F.col(diagonal.axes[0]).alias("k"), "v")
     if encoding != "coo":
-        fibres = encode(upper, encoding)
+        fibres = encode(upper, encoding, strip=STRIP)
         down = scaled(fibres, encoding, vec.withColumnRenamed("k", "j")).select(F.col("i").alias("o"), "v")
         back = decode(fibres, encoding).df.select(F.col("j").alias("o"), F.col("i").alias("k"), "v").unionByName(d)
         back = back.join(vec, "k").select("o", (F.col("v") * F.col("xv")).alias("v"))

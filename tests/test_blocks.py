@@ -6,8 +6,10 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from arrayloom.operators import encodings, linalg
 from arrayloom.plans import blocks
 from arrayloom.plans.einsum import MIN_PLUS, einsum
 from arrayloom.tensor import SparseTensor
@@ -123,3 +125,18 @@ def test_types_that_blocks_do_not_carry_are_joined(spark):
 @pytest.mark.parametrize("name", ["mm", "triangle_unfused", "mm_checksum", "spgemm_gustavson"])
 def test_queries_shuffle_no_products(spark, name):
     _made_in_blocks(__spark_entry__.queries()[name](spark, SF))
+
+
+def test_band_of_a_long_column_stays_short(spark, monkeypatch):
+    """Two entries a million rows apart: a band in one piece had a million places."""
+    upper = _frame(spark, [(0, 2_000_000, 2.0), (1_000_000, 2_000_000, 3.0), (1_000_002, 2_000_000, 5.0)])
+    assert encodings.encode(upper, "band").agg(F.max(F.size("val"))).first()[0] == 1_000_003
+    pieces = encodings.encode(upper, "band", strip=linalg.STRIP)
+    assert sorted(r["val"] for r in pieces.collect()) == [[2.0], [3.0, 0.0, 5.0]]
+    x = SparseTensor(spark.createDataFrame([(0, 1.0), (1_000_000, 10.0), (1_000_002, 100.0), (2_000_000, 1000.0)], "j long, v double"), ("j",))
+    d = SparseTensor(spark.createDataFrame([(0, 7.0)], "i long, v double"), ("i",))
+    made = []
+    monkeypatch.setattr(linalg, "encode", lambda *a, **b: made.append(encodings.encode(*a, **b)) or made[-1])
+    y = linalg.spmv_symmetric(upper, d, x, "band")
+    assert {r["i"]: r["v"] for r in y.df.collect()} == {0: 2007.0, 1_000_000: 3000.0, 1_000_002: 5000.0, 2_000_000: 532.0}
+    assert [df.agg(F.max(F.size("val"))).first()[0] for df in made] == [3]
