@@ -88,7 +88,7 @@ def _pieces(fibres: DataFrame, outer: str) -> DataFrame:
 def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTensor:
     """C = A B.
 
-    outer      join on the contracted index, aggregate partial products (map-side combined): the natural plan
+    outer      contracted index by index, the outer product of A's column and B's row is added to a block of the result
     gustavson  B as sorted rows; an entry of A meets a whole row of B (of a block of B's columns), row by row of A
     inner      rows of A and columns of B in pieces of `PIECE` contracted indices; pieces with the same range are intersected
                entry by entry, and a pair's partial dot products are summed
@@ -99,7 +99,7 @@ def spgemm(a: SparseTensor, b: SparseTensor, method: str = "outer") -> SparseTen
     left = a.rename("i", "k")
     right = b.rename("k", "j")
     if method == "outer":
-        c = einsum("ik,kj->ij", left, right)
+        c = einsum("ik,kj->ij", a, b, blocked=True)
         return SparseTensor(c.df, ("i", "j"), shape)
     if method == "gustavson" and blocks.supported(a, b, "sum_product"):
         return SparseTensor(blocks.product(a, b, order="i"), ("i", "j"), shape)
