@@ -122,7 +122,7 @@ def test_types_that_blocks_do_not_carry_are_joined(spark):
     assert einsum("ik,kj->ij", t, t, semiring=MIN_PLUS, blocked=True).df.collect()[0][2] == 2**61 + 2
 
 
-@pytest.mark.parametrize("name", ["mm", "triangle_unfused", "mm_checksum", "spgemm_gustavson", "spgemm_min_plus", "spgemm_outer"])
+@pytest.mark.parametrize("name", ["mm", "triangle_unfused", "mm_checksum", "spgemm_gustavson", "spgemm_min_plus", "spgemm_outer", "spgemm_or_and"])
 def test_queries_shuffle_no_products(spark, name):
     _made_in_blocks(__spark_entry__.queries()[name](spark, SF))
 
